@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import token_blocks
+from .common import documents, new_path
 from .exact_dedup import mark_duplicates
 from .mixing import mixed_copies, n_words
+from .packing import pack_documents
 from .quality_llr import quality_rules
 from .simhash import near_duplicates
 
 
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-blocks")
+    token_blocks.write(documents(spark, sf_dir), path, "word_bpe_49k.json", end=1)
+    return token_blocks.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), "byte_bpe_50k.json", end=2, capacity=1024)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(documents(spark, sf_dir))
 
@@ -33,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_blocks": op3_token_blocks,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
