@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_blocks
+from . import language_id, token_blocks
 from .chat_trees import chosen_paths, digests, format_paths, linear_messages
 from .common import cut, documents, new_path
 from .exact_dedup import mark_duplicates
@@ -18,6 +18,18 @@ from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 
 
+def _fold(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(_fold(3) != 1))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-blocks")
     token_blocks.write(documents(spark, sf_dir), path, "word_bpe_49k.json", end=1)
@@ -62,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_token_blocks": op3_token_blocks,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
