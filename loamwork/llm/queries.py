@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, token_blocks
+from . import language_id, lm_maxent, token_blocks
 from .chat_trees import chosen_paths, digests, format_paths, linear_messages
 from .common import cut, documents, new_path
 from .exact_dedup import mark_duplicates
@@ -23,6 +23,10 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_maxent.score_documents(documents(spark, sf_dir), _fold(5) != 1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.where(_fold(3) != 1))
@@ -74,6 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_token_blocks": op3_token_blocks,
     "op4_best_fit_packing": op4_best_fit_packing,
