@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
-from .tokens import encode_documents, slices
+from .common import cut
+from .tokens import encode_documents
 
 RANK_GROUPS = 256
 
@@ -97,12 +97,10 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                ids, sizes = encode_documents(tokenizer, texts[a:b], end)
+            for first, ids, sizes in encode_documents(tokenizer, batch.column(1), end):
                 counts = -(-sizes // capacity)
                 ends = np.cumsum(counts)
-                doc = np.repeat(np.arange(b - a), counts)
+                doc = np.repeat(np.arange(len(sizes)), counts)
                 piece = np.arange(len(doc)) - np.repeat(ends - counts, counts)
                 # the first piece takes what the full ones leave
                 head = (sizes - 1) % capacity + 1
@@ -112,7 +110,7 @@ def pieces(
                 raw = ids.astype("<u4")
                 parts = [raw[x : x + n].tobytes() for x, n in zip(at, length, strict=True)]
                 out = {
-                    "doc_id": batch.column(0)[a:b].take(pa.array(doc)),
+                    "doc_id": batch.column(0).take(pa.array(first + doc)),
                     "piece": pa.array(piece.astype(np.int32)),
                     "start": pa.array(start),
                     "length": pa.array(length),

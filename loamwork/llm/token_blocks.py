@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import texts_of
-from .tokens import encode_documents, slices
+from .tokens import encode_documents
 
 SEGMENT_IDS = 1 << 18
 
@@ -58,10 +57,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
             )
 
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                ids, sizes = encode_documents(tokenizer, texts[a:b], end)
-                names.append(batch.column(0)[a:b])
+            for first, ids, sizes in encode_documents(tokenizer, batch.column(1), end):
+                names.append(batch.column(0)[first : first + len(sizes)])
                 lengths.append(sizes)
                 parts.append(ids)
                 waiting += len(ids)

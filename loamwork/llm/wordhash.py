@@ -17,7 +17,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 21
 
 _MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
+_BYTE_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD_BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -92,11 +92,12 @@ class Chunk:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word."""
-        sums = prefix_sums(self.data.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash for each word; two are to be had."""
+        base = _BYTE_BASE[which]
+        sums = prefix_sums(self.data + np.uint64(1), base)
         h = sums[self.ends] - sums[self.starts]
-        h *= powers(inverse(_BYTE_BASE), len(self.data) + 1)[self.starts]
+        h *= powers(inverse(base), len(self.data) + 1)[self.starts]
         return mix(h)
 
 
