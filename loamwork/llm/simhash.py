@@ -172,7 +172,7 @@ def plan_parts(prints: DataFrame, distance: int) -> list[Part]:
     n, both = bit_statistics(prints)
     p = np.diag(both) / max(n, 1)
     odds = 2 * p * (1 - p) / np.maximum(1 - 2 * p * (1 - p), 1e-12)
-    layouts = {m: group_bits(n, both, m) for m in {max(distance, 1), distance + 1}}
+    layouts = {m: group_bits(n, both, m) for m in range(max(1, distance // 2 + 1), distance + 2)}
     keys = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), _masked(sum(1 << b for b in bits)).alias("key")) for m, groups in layouts.items() for i, bits in enumerate(groups)]
     counted = (
         prints.select(F.inline(F.array(*keys)))
@@ -201,6 +201,18 @@ def plan_parts(prints: DataFrame, distance: int) -> list[Part]:
     return chosen[1]
 
 
+def bucket_keys(prints: DataFrame, parts: Sequence[Part]) -> tuple[DataFrame, DataFrame]:
+    """``prints`` with part and key, once for its own buckets and once for all it probes."""
+    own = prints.select("*", F.inline(F.array(*[F.struct(F.lit(p.number).alias("part"), _masked(p.mask).alias("key")) for p in parts])))
+    probe = own
+    for p in parts:
+        if p.threshold > 0:
+            near = F.explode(F.array(*[F.lit(x) for x in flips(p.bits, p.threshold)[1:]])).alias("__flip")
+            key = _masked(p.mask).bitwiseXOR(F.col("__flip"))
+            probe = probe.union(prints.select("*", near).select(*prints.columns, F.lit(p.number).alias("part"), key.alias("key")))
+    return own, probe
+
+
 def links(prints: DataFrame, distance: int = 2, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints are within ``distance``.
 
@@ -210,14 +222,7 @@ def links(prints: DataFrame, distance: int = 2, bucket_cap: int = BUCKET_CAP) ->
     """
     if distance % 2 or distance < 0:
         raise ValueError("the distance must be even")
-    parts = plan_parts(prints, distance)
-    index_keys = F.array(*[F.struct(F.lit(p.number).alias("part"), _masked(p.mask).alias("key")) for p in parts])
-    index = prints.select("fp", F.inline(index_keys))
-    wide = [p for p in parts if p.threshold > 0]
-    probe = prints.select("fp", F.inline(index_keys))
-    for p in wide:
-        near = F.explode(F.array(*[F.lit(x) for x in flips(p.bits, p.threshold)[1:]])).alias("flip")
-        probe = probe.union(prints.select("fp", near).select("fp", F.lit(p.number).alias("part"), _masked(p.mask).bitwiseXOR(F.col("flip")).alias("key")))
+    index, probe = bucket_keys(prints, plan_parts(prints, distance))
     hot = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap).select("part", "key")
     cool = index.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "other")
     pairs = (
