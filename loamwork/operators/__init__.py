@@ -1 +1,8 @@
-"""Placeholder until this part is written."""
+"""Relational operators that Spark has no method for, composed of those it has."""
+
+from .asof import asof_join
+from .ranges import range_join
+from .sessions import sessionize
+from .topk import top_k_per_group
+
+__all__ = ["asof_join", "range_join", "sessionize", "top_k_per_group"]

@@ -1 +1,5 @@
-"""Placeholder until this part is written."""
+"""Streaming forms of windowed aggregates."""
+
+from .windows import events_stream, session_totals, windowed_totals
+
+__all__ = ["events_stream", "session_totals", "windowed_totals"]
