@@ -9,7 +9,7 @@ their number. What follows carries hashes and counts alone.
 Defined cases: a null text counts as empty, and empty texts equal each other;
 rows that repeat a doc_id with the same text are one document, stay or go
 together and count singly in ``group_size``; a row with null doc_id ranks after
-all others; an empty table gives an empty result. Other columns pass through
+all others, and such rows stay if one of them stays; an empty table gives an empty result. Other columns pass through
 ``exact_dedup`` untouched and cannot clash with the operator's own.
 """
 

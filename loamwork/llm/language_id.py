@@ -44,7 +44,7 @@ MOST_LANGUAGES = 1024
 SCALE = 1024.0
 BATCH = 8192
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _SLOT_BITS = 19
@@ -110,6 +110,10 @@ def vocabulary(name: str) -> Pieces:
     return _vocabularies[name]
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for run in _WORD_CHARS.finditer(text) for c in run[0])
+
+
 def words_of(text: str) -> list[bytes]:
     """The text's words with a space before each, cut to WORD_BYTES."""
     words = [b" " + w for w in text.encode().split()]
@@ -205,7 +209,7 @@ class LanguageModel:
             return ["und"] * len(texts), np.zeros(len(texts))
         if len(self.known) > MOST_WORDS:
             self.known, self.scores = {}, None
-        words = [words_of(x) if _LETTER.search(x) else [] for x in texts]
+        words = [words_of(x) if has_letter(x) else [] for x in texts]
         new = set().union(*words).difference(self.known)
         if new:
             self.learn(list(new))
