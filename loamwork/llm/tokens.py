@@ -26,6 +26,7 @@ from .wordhash import Chunk, chunks, mix
 MOST_WORDS = 1_000_000
 KEPT_WORDS = 500_000
 GROUP = 100
+CHUNK_BYTES = 1 << 20
 #: Stands between runs of letters; its id is that of no letters.
 MARK = "!"
 
@@ -254,7 +255,7 @@ def encoder(name: str) -> Encoder:
 
 def encode_documents(name: str, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, ids of each text with ``end`` after it, and the number of ids of each, for some texts at a time."""
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, chunk_bytes=CHUNK_BYTES):
         ids, sizes = encoder(name).encode(chunk)
         out = np.full(len(ids) + len(sizes), end, dtype=np.uint32)
         keep = np.ones(len(out), dtype=bool)
