@@ -91,6 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), starts AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM texts WHERE len(words) >= 20
+        ), repeated AS (
+            SELECT doc_id, p, row_number() OVER (PARTITION BY words[p:p + 19] ORDER BY doc_id, p) > 1 AS again FROM starts
+        ), gone AS (
+            SELECT doc_id, list(p) AS dropped FROM (
+                SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM repeated WHERE again
+            ) GROUP BY doc_id
+        ), places AS (
+            SELECT doc_id, words, coalesce(dropped, []) AS dropped FROM texts LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, len(words) AS n_words, len(dropped)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(words, lambda w, i: NOT list_contains(dropped, i)), ' '), '')) AS kept_sha256
+        FROM places
+    """,
     "op6_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, coalesce(text, '') AS text,
@@ -105,6 +123,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM ranked
     """,
+    "op9_chat_trees": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), slashed AS (
+            SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS t0 FROM turns
+        ), squared AS (
+            SELECT *, replace(replace(replace(replace(t0, '[INST]', '\[INST]'), '[/INST]', '\[/INST]'), '[TURN ', '\[TURN '), '[/TURN]', '\[/TURN]') AS t1
+            FROM slashed
+        ), angled AS (
+            SELECT *, replace(replace(replace(replace(t1, '<s>', '\<s>'), '</s>', '\</s>'), '<SYS>>', '\<SYS>>'), '</SYS>>', '\</SYS>>') AS t2 FROM squared
+        ), escaped AS (
+            SELECT *, replace(replace(t2, '<\<SYS>>', '\<\<SYS>>'), '<\</SYS>>', '\<\</SYS>>') AS body FROM angled
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 END)::BIGINT AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
     "op10_mixing": r"""
         WITH sizes AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
