@@ -1,5 +1,6 @@
 """Where tables come from and go to."""
 
+from .files import FORMATS, read_files, write_files
 from .tables import TABLES, read_table, register_views
 
-__all__ = ["TABLES", "read_table", "register_views"]
+__all__ = ["FORMATS", "TABLES", "read_files", "read_table", "register_views", "write_files"]

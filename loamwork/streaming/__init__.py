@@ -1,5 +1,6 @@
-"""Streaming forms of windowed aggregates."""
+"""Streaming forms of windowed aggregates, and totals kept in state."""
 
+from .state import first_of_each, running_totals
 from .windows import events_stream, session_totals, windowed_totals
 
-__all__ = ["events_stream", "session_totals", "windowed_totals"]
+__all__ = ["events_stream", "first_of_each", "running_totals", "session_totals", "windowed_totals"]

@@ -36,3 +36,22 @@ def test_stream_gives_the_closed_windows_of_the_table(spark, sf_dir, tmp_path):
     running.awaitTermination(120)
     got, want = {tuple(r) for r in spark.table("totals").collect()}, {tuple(r) for r in windowed_totals(events, "6 hours").collect()}
     assert got <= want and {r[0] for r in want - got} <= {max(r[0] for r in want)}
+
+
+def test_running_totals_and_first_rows_of_a_stream(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loamwork.streaming import first_of_each, running_totals
+
+    events = read_table(spark, sf_dir, "events")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    source = events_stream(spark, str(tmp_path / "in"), events.schema, late="60 days")
+    for name, stream, mode in (("running", running_totals(source), "update"), ("firsts", first_of_each(source, "user_id").select("user_id"), "append")):
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        query.awaitTermination(120)
+    want = {r["user_id"]: (r["n"], round(r["total"], 6)) for r in events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).collect()}
+    got = {}
+    for r in spark.table("running").collect():
+        got[r["user_id"]] = max(got.get(r["user_id"], (0, 0.0)), (r["n"], round(r["total"], 6)))
+    assert got == want
+    assert sorted(r["user_id"] for r in spark.table("firsts").collect()) == sorted(want)

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from loamwork.plans import relational
+from loamwork.plans import extended, relational  # noqa: F401
 from loamwork.sources import TABLES
 
 
