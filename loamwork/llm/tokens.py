@@ -23,8 +23,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .wordhash import Chunk, chunks, mix
 
-MOST_WORDS = 1_000_000
-KEPT_WORDS = 500_000
+MOST_WORDS = 600_000
+KEPT_WORDS = 300_000
 GROUP = 100
 CHUNK_BYTES = 1 << 20
 #: Stands between runs of letters; its id is that of no letters.
@@ -68,8 +68,8 @@ class HashTable:
         """Hashes that are new and all different."""
         first = len(self)
         self.hash, self.check = np.concatenate([self.hash, h]), np.concatenate([self.check, check])
-        if 4 * len(self) > len(self.slots):
-            self._place(1 << (8 * len(self) - 1).bit_length())
+        if 2 * len(self) > len(self.slots):
+            self._place(1 << (3 * len(self) - 1).bit_length())
         else:
             self._insert(np.arange(first, len(self), dtype=np.int32))
 
