@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,15 +77,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(
-    df: DataFrame,
-    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
-) -> DataFrame:
-    """``mapInArrow`` under the name the operators use."""
-    return df.mapInArrow(function, schema)
-
-
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column as Python strings, null as the empty string."""
     return [x or "" for x in column.to_pylist()]
