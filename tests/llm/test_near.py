@@ -102,3 +102,36 @@ def test_near_texts_against_brute_force(make, odd_rows, cap):
     assert kept.columns == docs.columns and None in got
     assert set(want.values()) <= got - {None} <= set(sure.values())
     assert near_text.near_dedup_texts(make([])).count() == 0
+
+
+def edited_copies(seed):
+    """Texts with copies that have much appended, cut or replaced at one place."""
+    rows, r = [], random.Random(seed)
+    for k in range(60):
+        n = r.choice([60, 120, 300, 800])
+        base, other = words(900 + k, n, size=5000), words(2000 + k, n, size=5000)
+        some = n // 10
+        edits = [base + other[:some], base + other[: 2 * some], base[: n - some], base[: n - 3 * n // 20], base[: n // 3] + other[: some - 4] + base[n // 3 + some - 4 :]]
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate([base, r.choice(edits)])]
+    return rows
+
+
+@pytest.mark.parametrize("cap", [32, 1])
+def test_near_texts_far_apart_in_bits_against_brute_force(make, cap):
+    rows = edited_copies(3)
+    sets = {d: set(shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
+    prints = {r["doc_id"]: r["fp"] % (1 << 64) for r in near_text.fingerprints(make(rows).select("doc_id", "text"), 5).collect()}
+    similar = [10 * k for k in range(60) if jaccard(sets[10 * k], sets[10 * k + 1]) >= 0.8]
+    assert sum((prints[d] ^ prints[d + 1]).bit_count() > 10 for d in similar) > 3
+    want = closure(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert {r["doc_id"] for r in near_text.near_dedup_texts(make(rows), bucket_cap=cap).collect()} == set(want.values())
+
+
+def test_common_lines_are_last_in_prefixes(make, monkeypatch):
+    line = words(1, 40, size=5000)
+    docs = make([(i, " ".join(words(100 + i, 200, size=5000) + line)) for i in range(50)]).select("doc_id", "text")
+    frequent = near_text.frequent_shingles(docs, 5)
+    assert len(frequent[0]) == 36 and set(frequent[1].tolist()) == {50}
+    found = near_text.fingerprints(docs, 5, 0.8, frequent).collect()
+    keys = [x for r in found for x in r["prefix"]]
+    assert len(set(keys)) == len(keys) and all(len(r["prefix"]) == r["size"] - -(-4 * r["size"] // 5) + 1 for r in found)
