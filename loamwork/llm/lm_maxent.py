@@ -18,8 +18,8 @@ half a count for each rare word and for the unknown one.
 
 Training is by distributed gradient updates. In each round every task takes the
 model by broadcast, makes AdaGrad steps in minibatches over its share of training
-texts (every ``STRIDE``-th token, another set each round) and returns what it
-changed; changes to a row are averaged by the number of tokens behind them. Model
+texts (every ``ROUNDS``-th token, another set each round, so that all rounds
+together visit every token once) and returns what it changed; changes to a row are averaged by the number of tokens behind them. Model
 and neighbour counts have a fixed size. The counts of all words stay a distributed
 table that grows with the corpus; rare words meet it in a join on their hash.
 
@@ -52,7 +52,6 @@ SLOTS = 32
 CLASS_ROWS = 1 << 14
 SLOT_ROWS = 1 << 14
 CONTEXT = 3
-STRIDE = 12
 ROUNDS = 3
 MINIBATCH = 2048
 RATE = 0.25
@@ -208,6 +207,11 @@ def places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(np.arange(1, len(sizes) + 1) * CONTEXT, sizes)
 
 
+def visited(sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places whose tokens a round learns from; each is in one of the rounds."""
+    return places(sizes)[turn::rounds]
+
+
 def blocks_of(table: int, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     for b in range(0, len(rows), BLOCK_ROWS):
         part = rows[b : b + BLOCK_ROWS]
@@ -418,7 +422,7 @@ class Trainer:
             yield from blocks_of(which, np.concatenate([(table - self.before[which]) * seen, seen], axis=1))
 
 
-def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> MaxentModel:
+def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, rate: float = RATE) -> MaxentModel:
     """Gradient rounds over all training texts of ``tokens``."""
     shapes = [(len(t), t.shape[1] + 1) for t in (model.class_rows, model.slot_rows)]
     for turn in range(rounds):
@@ -428,7 +432,7 @@ def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, stride: i
             trainer = Trainer(shared.value, rate / (1 + turn))
             for batch in batches:
                 for _, t, sizes in token_batches(batch.column(0), shared.value.words.size):
-                    trainer.train(t, places(sizes)[turn::stride])
+                    trainer.train(t, visited(sizes, turn, rounds))
             rows = list(trainer.changes())
             if rows:
                 yield _records(rows)

@@ -164,3 +164,9 @@ def test_lm_with_nothing_to_learn_from(make, odd_rows):
     assert len(got) == len(odd_rows)
     assert all(r["n_known"] == r["train_tokens"] == 0 and r["base_score"] == 0 and r["held_out"] and math.isfinite(r["score"]) for r in got)
     assert lm_maxent.score_documents(make([]), F.lit(True)).count() == 0
+
+
+def test_lm_rounds_visit_every_training_token_once():
+    sizes = np.array([1, 7, 1, 40, 3])
+    at = np.concatenate([lm_maxent.visited(sizes, turn, lm_maxent.ROUNDS) for turn in range(lm_maxent.ROUNDS)])
+    assert sorted(at.tolist()) == lm_maxent.places(sizes).tolist()
