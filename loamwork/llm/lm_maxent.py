@@ -342,9 +342,9 @@ class MaxentModel:
         return [self._row(f, CLASS_ROWS) for f in features]
 
     def slot_at(self, features: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
-        """Rows of the second table, by class and feature; the nearest token and the pair are used."""
+        """Rows of the second table, by class and feature."""
         c = (klass.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        return [self._row((features[k] ^ c) * np.uint64(0x9E3779B97F4A7C15), SLOT_ROWS) for k in (0, 1)]
+        return [self._row((f ^ c) * np.uint64(0x9E3779B97F4A7C15), SLOT_ROWS) for f in features]
 
     @staticmethod
     def sums(bias: np.ndarray, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:

@@ -170,3 +170,14 @@ def test_lm_rounds_visit_every_training_token_once():
     sizes = np.array([1, 7, 1, 40, 3])
     at = np.concatenate([lm_maxent.visited(sizes, turn, lm_maxent.ROUNDS) for turn in range(lm_maxent.ROUNDS)])
     assert sorted(at.tolist()) == lm_maxent.places(sizes).tolist()
+
+
+def test_lm_words_in_a_class_depend_on_all_features():
+    n = 10
+    known = lm_maxent.Vocabulary(np.arange(n, dtype=np.uint64), np.arange(n), np.arange(n, 0, -1), 60, n, 0)
+    model = lm_maxent.MaxentModel.start(known, np.array([0] + [1] * (n - 1)))
+    model.slot_rows[:] = np.random.default_rng(1).normal(size=model.slot_rows.shape)
+    features = model.features(np.array([3, 4, 5, 6]), np.array([3]))
+    assert len(model.slot_at(features, np.array([1]))) == len(features) == 4
+    one, two = (model.log_probabilities(np.array([first, 4, 5, 6]), np.array([3]))[0] for first in (2, 3))
+    assert one != two
