@@ -61,7 +61,7 @@ class Windows:
         self.start = inside - chunk.bounds[self.text]
         if len(inside):
             self.hash = run_hashes(words, window)[inside]
-            self.check = (run_hashes(words, window, 1)[inside] >> np.uint64(32)).astype(np.uint32)
+            self.check = (run_hashes(chunk.hashes(1), window, 1)[inside] >> np.uint64(32)).astype(np.uint32)
             self.anchor = sliding_least(run_hashes(words, anchor), window - anchor + 1)[inside]
         else:
             self.hash = self.anchor = np.zeros(0, dtype=np.uint64)

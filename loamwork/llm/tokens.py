@@ -4,8 +4,9 @@ Both tokenizers used here split a text before they merge, and never inside a run
 of letters, nor across the point where a non-space is followed by white space.
 So a text's ids are those of its words, each with the one space that may lead it,
 and of what other white space there is; and a word of letters with signs after it
-has the ids of the letters and of the signs. Words are told apart by 96 bits of
-hash in numpy, and only new letters or signs reach the tokenizer, many to a call.
+has the ids of the letters and of the signs. Words are told apart in numpy by
+their keys (all bytes of a word of up to 15, a 120-bit digest of a longer one), and
+only new letters or signs reach the tokenizer, many to a call.
 The table of words belongs to the worker process; beyond ``MOST_WORDS`` it keeps
 the ``KEPT_WORDS`` most used. No text or word is cut.
 """
@@ -21,12 +22,14 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .wordhash import Chunk, chunks, mix
+from .wordhash import Chunk, chunks, joined, mix
 
 MOST_WORDS = 600_000
 KEPT_WORDS = 300_000
 GROUP = 100
 CHUNK_BYTES = 1 << 20
+#: In the high half of a word's key: whether a space leads it.
+LED = np.uint64(1 << 62)
 #: Stands between runs of letters; its id is that of no letters.
 MARK = "!"
 
@@ -39,52 +42,52 @@ _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\x
 _encoders: dict[str, Encoder] = {}
 
 
-class HashTable:
-    """Numbers for 64-bit hashes with a 32-bit check, by open addressing."""
+class WordTable:
+    """Numbers for words by their keys, by open addressing."""
 
     def __init__(self) -> None:
-        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self._place(1 << 16)
 
     def __len__(self) -> int:
-        return len(self.hash)
+        return len(self.low)
 
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(joined(high, low)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
 
     def _place(self, slots: int) -> None:
         self.slots = np.full(slots, -1, dtype=np.int32)
-        self._insert(np.arange(len(self.hash), dtype=np.int32))
+        self._insert(np.arange(len(self), dtype=np.int32))
 
     def _insert(self, numbers: np.ndarray) -> None:
-        slot = self._slot(self.hash[numbers])
+        slot = self._slot(self.low[numbers], self.high[numbers])
         while len(numbers):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = numbers[free]
             lost = self.slots[slot] != numbers
             numbers, slot = numbers[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
-    def add(self, h: np.ndarray, check: np.ndarray) -> None:
-        """Hashes that are new and all different."""
+    def add(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Words that are new and all different."""
         first = len(self)
-        self.hash, self.check = np.concatenate([self.hash, h]), np.concatenate([self.check, check])
+        self.low, self.high = np.concatenate([self.low, low]), np.concatenate([self.high, high])
         if 2 * len(self) > len(self.slots):
             self._place(1 << (3 * len(self) - 1).bit_length())
         else:
             self._insert(np.arange(first, len(self), dtype=np.int32))
 
     def keep(self, numbers: np.ndarray) -> None:
-        self.hash, self.check = self.hash[numbers], self.check[numbers]
+        self.low, self.high = self.low[numbers], self.high[numbers]
         self._place(len(self.slots))
 
-    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The number of each hash, -1 where it is new."""
-        slot = self._slot(h)
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is new."""
+        slot = self._slot(low, high)
         found = self.slots[slot]
         going = np.flatnonzero(found >= 0)
         while len(going):
             at = found[going]
-            going = going[(self.hash[at] != h[going]) | (self.check[at] != check[going])]
+            going = going[(self.low[at] != low[going]) | (self.high[at] != high[going])]
             slot[going] = (slot[going] + 1) & (len(self.slots) - 1)
             found[going] = self.slots[slot[going]]
             going = going[found[going] >= 0]
@@ -129,7 +132,7 @@ class Encoder:
         (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {ord(c): as_bytes(c)[0][0] for c in map(chr, [32, *range(0xC0, 0x100)])}
-        self.pool, self.words = Pool(), HashTable()
+        self.pool, self.words = Pool(), WordTable()
         self.parts = np.zeros((0, 2), dtype=np.int64)  # of each word: letters and signs, as pieces
         self.uses = np.zeros(0, dtype=np.int64)
 
@@ -179,20 +182,20 @@ class Encoder:
         """All ids, text after text, and the number of ids of each text."""
         if len(self.words) > MOST_WORDS:
             self.forget()
-        h, check = chunk.hashes(), chunk.hashes(1)
-        led = self._led(chunk) if self.spaced else np.zeros(len(h), dtype=bool)
-        h = mix(h + led.astype(np.uint64))
-        check = (check >> np.uint64(32)).astype(np.uint32)
-        found = self.words.find(h, check)
+        low, high = chunk.keys()
+        led = self._led(chunk) if self.spaced else np.zeros(len(low), dtype=bool)
+        high[led] ^= LED
+        found = self.words.find(low, high)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            _, first = np.unique(h[missing], return_index=True)
-            first = missing[first]
+            missing = missing[np.lexsort((low[missing], high[missing]))]
+            a, b = low[missing], high[missing]
+            first = missing[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]
             raw = chunk.data.tobytes()
             places = zip((chunk.starts[first] - led[first]).tolist(), chunk.ends[first].tolist(), strict=True)
             self.learn([raw[a:b].decode() for a, b in places])
-            self.words.add(h[first], check[first])
-            found[missing] = self.words.find(h[missing], check[missing])
+            self.words.add(low[first], high[first])
+            found[missing] = self.words.find(low[missing], high[missing])
         self.uses += np.bincount(found, minlength=len(self.uses))
         pieces = self.parts[found]
         if self.spaced:

@@ -1,9 +1,11 @@
-"""Words of many texts at once, as 64-bit hashes in numpy.
-
-Texts come as an Arrow string column. Their bytes are hashed by prefix sums of
-a polynomial modulo 2^64, from which the hash of any word, and of any run of
-words, is one subtraction and one product. Equal words have equal hashes
-whatever batch, task or run they are met in.
+"""Words of many texts at once, as keys and 64-bit hashes in numpy.
+
+Texts come as an Arrow string column. A word of up to 15 bytes is its own key of
+128 bits: its bytes and its length. A longer word's key is 120 bits of its
+XXH3-128 digest, which no short word has. Hashes scramble the keys; the hash of a
+run of words is built by doubling, each step a scrambling of two halves, so no
+sums of words cancel out. Equal words have equal keys and hashes whatever batch,
+task or run they are met in.
 """
 
 from __future__ import annotations
@@ -13,35 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 19
+#: A longer word's key is a digest.
+KEY_BYTES = 15
 
-_MASK = (1 << 64) - 1
-_BYTE_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_WORD_BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Odd multipliers of the two hashes (fixed values).
+_LOW = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_HIGH = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
+#: Masks that keep the first 0 to 8 bytes of a word read as one little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    """base^0 .. base^(count-1) modulo 2^64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < count:
-        steps = np.full(max(count, 1 << 16), base & _MASK, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:count]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (public-domain splitmix64 finaliser)."""
     h = h ^ (h >> np.uint64(30))
@@ -52,11 +42,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.empty(len(values) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """One hash of two, in this order."""
+    h = a ^ (a >> np.uint64(32))
+    h *= _LOW[which]
+    h += b
+    h ^= h >> np.uint64(29)
+    h *= _HIGH[which]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,25 +86,43 @@ class Chunk:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), self.counts)
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Low and high half of each word's key."""
+        padded = np.zeros(len(self.data) + 16, dtype=np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 9, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+        size = self.ends - self.starts
+        low = eight[self.starts] & _FIRST[np.minimum(size, 8)]
+        high = size.astype(np.uint64) << np.uint64(56)
+        more = np.flatnonzero(size > 8)
+        high[more] |= eight[self.starts[more] + 8] & _FIRST[np.minimum(size[more] - 8, 7)]
+        for i in np.flatnonzero(size > KEY_BYTES).tolist():
+            digest = xxhash.xxh3_128_digest(self.data[self.starts[i] : self.ends[i]])
+            low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:15] + b"\xff", "little")
+        return low, high
+
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash for each word; two are to be had."""
-        base = _BYTE_BASE[which]
-        sums = prefix_sums(self.data + np.uint64(1), base)
-        h = sums[self.ends] - sums[self.starts]
-        h *= powers(inverse(base), len(self.data) + 1)[self.starts]
-        return mix(h)
+        low, high = self.keys()
+        return mix(joined(high, low, which))
 
 
 def run_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """A hash for each run of ``length`` words, by the number of its first word."""
+    """A hash for each run of ``length`` words, by the number of its first word.
+
+    Runs of 1, 2, 4, .. words come of two halves each; the run wanted comes of two
+    such runs that begin with its first and end with its last word.
+    """
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    base = _WORD_BASE[which]
-    sums = prefix_sums(words, base)
-    h = sums[length:] - sums[:-length]
-    h *= powers(inverse(base), n)
-    return mix(h)
+    span, h = 1, words
+    while 2 * span <= length:
+        h = joined(h[:-span], h[span:], which)
+        span *= 2
+    if span < length:
+        h = joined(h[:n], h[length - span :], which)
+    return mix(h ^ np.uint64(length))
 
 
 def chunks(column: pa.Array, lower: bool = False, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:

@@ -43,6 +43,15 @@ def test_against_brute_force(make, odd_rows, window, anchor):
         assert all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_words_that_polynomials_confuse_do_not_repeat(make):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    one, two = (" ".join([x] + words(1, 30)[:19]) for x in (word, word.translate(str.maketrans("ab", "ba"))))
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(make([(1, one), (2, two), (3, one)])).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
 def test_rows_without_id_and_no_rows(make):
     text = " ".join(words(1, 30))
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(make([(None, text + " " + text), (1, text)])).collect()}

@@ -31,6 +31,17 @@ def test_ids_are_the_tokenizers_own(name, texts):
     assert got == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_ids_of_words_that_polynomials_confuse(name):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "a" * 15, "a" * 16, "a\0", "a"]
+    t = plain(name)
+    got = [list(x) for _, ids, sizes in tokens.encode_documents(name, pa.array(texts), 1) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
 def test_ids_stay_right_when_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_WORDS", 20)
     monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
