@@ -2,26 +2,32 @@
 
 A token is a lower-cased word or the end of a text. The ``MOST_FREQUENT`` most
 frequent tokens of the training texts that occur ``LEAST_COUNT`` times have
-numbers; all others, known or not,
-make up one class of rare words. The numbered ones are put into classes by what
-stands next to them: their counts beside the ``NEIGHBOURS`` most frequent tokens,
-grouped by k-means. A token's probability is
+numbers of their own; all other words, known or not, share ``RARE_BUCKETS`` numbers
+by hash. The numbered ones are put into classes by what stands next to them: their
+counts beside the ``NEIGHBOURS`` most frequent tokens, grouped by k-means; the rare
+words are the last class. A token's probability is
 
-    P(class | context) * P(token | class, context)
+    P(class | context) * P(word | class, context)
 
-Both factors are softmaxes over sums of weight rows, one row for each context
-feature, found by hash: the tokens one, two and three before (skips) and the last
-two together (an n-gram). The second softmax tells the ``SLOTS - 1`` most frequent
-tokens of the class and the rest of it apart; within the rest, and within the
-class of rare words, probability follows counts over all training texts, with
-half a count for each rare word and for the unknown one.
+Every class is told apart whole: a softmax over ``SLOTS`` slots, in which frequent
+words stand alone and the others in groups of up to ``SLOTS`` words, and a softmax
+within the group. So each number's probability depends on the context at all
+levels. Only within one bucket of rare words does it follow the words' counts, with
+half a count for each of them and for the unknown word.
+
+Softmaxes are over sums of weight rows, one row for each context feature, found by
+hash: the tokens one, two and three before (skips) and the last two together (an
+n-gram). The tables of rows grow with the training tokens, a row for every
+``TOKENS_A_ROW``, up to ``MOST_ROWS``, which bounds what a task holds.
 
 Training is by distributed gradient updates. In each round every task takes the
 model by broadcast, makes AdaGrad steps in minibatches over its share of training
 texts (every ``ROUNDS``-th token, another set each round, so that all rounds
-together visit every token once) and returns what it changed; changes to a row are averaged by the number of tokens behind them. Model
-and neighbour counts have a fixed size. The counts of all words stay a distributed
-table that grows with the corpus; rare words meet it in a join on their hash.
+together visit every token once) and returns what it changed; changes to a row are
+averaged by the number of tokens behind them. A round has ``TASKS_A_CORE`` tasks a
+core, so what they return does not grow with the number of files. The counts of all
+words stay a distributed table that grows with the corpus; rare words meet it in a
+join on their hash.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat a
 doc_id are learned from and scored each for itself, so the result has as many
@@ -33,7 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +54,20 @@ MOST_FREQUENT = 30_000
 LEAST_COUNT = 4
 NEIGHBOURS = 64
 CLASSES = 64
+#: Slots of a class and places of a group.
 SLOTS = 32
-CLASS_ROWS = 1 << 14
-SLOT_ROWS = 1 << 14
+#: Numbers of a class, at most.
+CLASS_WORDS = SLOTS * SLOTS
+RARE_BUCKETS = 1 << 10
+#: Rows of a weight table; row numbers are of 16 bits.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1280, 1 << 14, 1 << 16
 CONTEXT = 3
 ROUNDS = 3
-MINIBATCH = 2048
+MINIBATCH = 16384
 RATE = 0.25
+TASKS_A_CORE = 2
+#: Sums of weights beyond it count as so much, and the share that stands for none.
+MOST_SUM, NEVER = np.float32(80), 1e-38
 #: Rows of a table that travel as one record.
 BLOCK_ROWS = 128
 #: Counts that a task gathers before it hands them on.
@@ -104,6 +117,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.where("training").select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARE_BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """The numbered tokens by frequency; ``end`` is the number of the end token, whether counted or not."""
@@ -114,24 +131,25 @@ class Vocabulary:
     tokens: int  #: N
     distinct: int  #: V
     end: int
+    rare_mass: np.ndarray  #: by bucket: counts of rare words with half a count for each and for the unknown one
 
     @property
     def size(self) -> int:
         return len(self.count)
 
     @property
-    def rare_mass(self) -> float:
-        """Counts of rare words with half a count for each and for the unknown one."""
-        return self.tokens - int(self.count.sum()) + 0.5 * (self.distinct - int((self.count > 0).sum()) + 1)
+    def filler(self) -> int:
+        """The number of what stands before a text."""
+        return self.size + RARE_BUCKETS
 
     @property
     def base_mass(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each token, ``size`` for rare ones."""
+        """Number of each token; a rare one's is ``size`` and its bucket."""
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, self.number[at], self.size)
+        return np.where(self.hash[at] == hashes, self.number[at], self.size + bucket_of(hashes))
 
 
 def vocabulary(counts: DataFrame, most: int = MOST_FREQUENT) -> Vocabulary:
@@ -148,11 +166,17 @@ def vocabulary(counts: DataFrame, most: int = MOST_FREQUENT) -> Vocabulary:
         count.append(kept["n"] if kept else 0)
     hash_ = np.array(hashes, dtype=np.int64).astype(np.uint64)
     order = np.argsort(hash_)
-    return Vocabulary(hash_[order], order, np.array(count, dtype=np.int64), tokens, distinct, hashes.index(end))
+    count = np.array(count, dtype=np.int64)
+    bucket = F.shiftrightunsigned("hash", 64 - RARE_BUCKETS.bit_length() + 1)
+    mass = np.full(RARE_BUCKETS, 0.5)
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():  # a row a bucket
+        mass[r["bucket"]] += r["mass"]
+    np.subtract.at(mass, bucket_of(hash_[count > 0]), count[count > 0] + 0.5)
+    return Vocabulary(hash_[order], order, count, tokens, distinct, hashes.index(end), mass)
 
 
 def tokenised(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """Each text's token numbers as u16 bytes, and the hashes of its rare words with their counts."""
+    """Each text's token numbers as u16 bytes, and the hashes of its rare words with how often they occur in it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -163,7 +187,7 @@ def tokenised(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 hashes, ends = token_hashes(chunk)
                 numbers = known.numbers(hashes)
                 sizes = np.diff(ends, prepend=0)
-                rare = np.flatnonzero(numbers == known.size)
+                rare = np.flatnonzero(numbers >= known.size)
                 text = np.repeat(np.arange(chunk.n_texts), sizes)[rare]
                 order = np.lexsort((hashes[rare], text))
                 h, text = hashes[rare][order], text[order]
@@ -186,13 +210,13 @@ def tokenised(docs: DataFrame, words: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text", "training").mapInArrow(run, _TOKENS.format(kind=kind))
 
 
-def token_batches(column: pa.Array, size: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, token numbers of some texts, and their sizes. Texts are set apart by CONTEXT fillers ``size + 1``."""
+def token_batches(column: pa.Array, filler: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, token numbers of some texts, and their sizes. Texts are set apart by CONTEXT fillers."""
     parts: list[np.ndarray] = []
     sizes: list[int] = []
     first, n = 0, 0
     for row, raw in enumerate(column.to_pylist()):
-        parts += [np.full(CONTEXT, size + 1, dtype=np.int64), np.frombuffer(raw, dtype="<u2").astype(np.int64)]
+        parts += [np.full(CONTEXT, filler, dtype=np.int64), np.frombuffer(raw, dtype="<u2").astype(np.int64)]
         sizes.append(len(raw) // 2)
         n += len(raw) // 2
         if n >= most:
@@ -236,9 +260,11 @@ def summed(parts: DataFrame, shapes: list[tuple[int, int]], dtype: str) -> list[
 
     out = [np.zeros(s, dtype=dtype) for s in shapes]
     n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    for r in parts.repartition(int(n), "table", "row").mapInArrow(run, _BLOCKS).collect():  # a fixed size
+    sums = cut(parts.repartition(int(n), "table", "row").mapInArrow(run, _BLOCKS), "sums")
+    for r in sums.df.collect():  # a fixed size
         values = np.frombuffer(bytes(r["part"]), dtype=dtype).reshape(-1, shapes[r["table"]][1])
         out[r["table"]][r["row"] : r["row"] + len(values)] = values
+    sums.drop()
     return out
 
 
@@ -250,22 +276,29 @@ def _records(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(table, pa.int32()), pa.array(row, pa.int32()), pa.array(part, pa.binary())], names=["table", "row", "part"])
 
 
-def neighbour_counts(tokens: DataFrame, size: int) -> np.ndarray:
+def in_few_tasks(tokens: DataFrame) -> DataFrame:
+    """Training tokens in TASKS_A_CORE partitions a core, or as many as there are."""
+    few = TASKS_A_CORE * tokens.sparkSession.sparkContext.defaultParallelism
+    return tokens.where("training").select("tokens").coalesce(few)
+
+
+def neighbour_counts(tokens: DataFrame, words: Vocabulary) -> np.ndarray:
     """How often each numbered token stands right after and right before each of the NEIGHBOURS most frequent."""
+    size, filler = words.size, words.filler
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((size, 2 * NEIGHBOURS), dtype=np.int32)
         flat = counts.reshape(-1)
         for batch in batches:
-            for _, t, _ in token_batches(batch.column(0), size):
+            for _, t, _ in token_batches(batch.column(0), filler):
                 for side, (token, beside) in enumerate(((t[1:], t[:-1]), (t[:-1], t[1:]))):
                     some = (beside < NEIGHBOURS) & (token < size)
-                    flat += np.bincount(token[some] * (2 * NEIGHBOURS) + side * NEIGHBOURS + beside[some], minlength=len(flat)).astype(np.int32)
+                    np.add.at(flat, token[some] * (2 * NEIGHBOURS) + side * NEIGHBOURS + beside[some], 1)
         rows = list(blocks_of(0, counts))
         if rows:
             yield _records(rows)
 
-    return summed(tokens.where("training").select("tokens").mapInArrow(run, _BLOCKS), [(size, 2 * NEIGHBOURS)], "i4")[0]
+    return summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), [(size, 2 * NEIGHBOURS)], "i4")[0]
 
 
 def classes_of(counts: np.ndarray, words: Vocabulary, classes: int = CLASSES) -> np.ndarray:
@@ -283,6 +316,12 @@ def classes_of(counts: np.ndarray, words: Vocabulary, classes: int = CLASSES) ->
         np.add.at(sums, near, x * weight[:, None])
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    # what is too much for a class, its least frequent words, goes to the class with most room
+    size = np.bincount(near, minlength=classes - 2)
+    for c in np.flatnonzero(size > CLASS_WORDS):
+        for i in np.flatnonzero(near == c)[CLASS_WORDS:]:
+            near[i] = size.argmin()
+            size[near[i]] += 1
     out = near + 1
     out[words.end] = 0
     return out
@@ -290,174 +329,194 @@ def classes_of(counts: np.ndarray, words: Vocabulary, classes: int = CLASSES) ->
 
 @dataclass
 class MaxentModel:
-    """Weight tables, and what each numbered token is in its class."""
+    """Where each number stands in the tree of class, slot and group, and for each level biases and weight rows."""
 
     words: Vocabulary
-    klass: np.ndarray  #: of each token number, the rare ones' last
+    klass: np.ndarray  #: of each number, those of rare buckets last
     slot: np.ndarray
-    rest: np.ndarray  #: log of the token's share of its slot
-    class_bias: np.ndarray
-    slot_bias: np.ndarray  #: by class; -inf where a class has no such slot
-    class_rows: np.ndarray
-    slot_rows: np.ndarray
+    group: np.ndarray  #: class and slot in one, -1 for a word that has its slot alone
+    place: np.ndarray
+    rest: np.ndarray  #: log of what a bucket's counts are divided by
+    biases: list[np.ndarray]  #: log shares of classes, of slots by class, of places by group
+    tables: list[np.ndarray]
 
     @classmethod
     def start(cls, words: Vocabulary, klass: np.ndarray, classes: int = CLASSES) -> MaxentModel:
-        """Before training: class and slot follow from counts alone."""
-        rare = classes - 1
-        count = words.count + 0.5 * (words.count == 0)
-        slot = np.zeros(words.size + 1, dtype=np.int64)
-        share = np.zeros(words.size + 1)
-        slot_bias = np.full((classes, SLOTS), -np.inf, dtype=np.float32)
-        mass = np.zeros(classes)
-        for c in range(rare):
+        """Before training: all follows from counts."""
+        klass = np.concatenate([klass, np.full(RARE_BUCKETS, classes - 1)])
+        mass = np.concatenate([words.count + 0.5 * (words.count == 0), words.rare_mass])
+        slot, place = np.zeros(len(klass), dtype=np.int64), np.zeros(len(klass), dtype=np.int64)
+        alone = np.ones(len(klass), dtype=bool)
+        for c in range(classes):
             own = np.flatnonzero(klass == c)
-            if not len(own):
-                continue
-            mass[c] = count[own].sum()
-            own = own[np.argsort(-count[own], kind="stable")]
-            slot[own] = np.minimum(np.arange(len(own)), SLOTS - 1)
-            sums = np.bincount(slot[own], weights=count[own], minlength=SLOTS)
-            share[own] = np.log(count[own] / sums[slot[own]])
-            slot_bias[c, sums > 0] = np.log(sums[sums > 0])
-        slot_bias[rare, 0] = 0
-        mass[rare] = words.rare_mass
+            own = own[np.argsort(-mass[own], kind="stable")]
+            groups = max(0, -(-(len(own) - SLOTS) // (SLOTS - 1)))
+            single = min(len(own), SLOTS - groups)
+            rest = np.arange(len(own) - single)
+            slot[own] = np.concatenate([np.arange(single), single + rest // SLOTS])
+            place[own[single:]], alone[own[single:]] = rest % SLOTS, False
+        cell = klass * SLOTS + slot
+        by_cell = np.bincount(cell, weights=mass, minlength=classes * SLOTS)
+        by_place = np.bincount(cell * SLOTS + place, weights=mass, minlength=classes * SLOTS * SLOTS)
+        shares = [x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30) for x in (np.bincount(klass, weights=mass, minlength=classes)[None], by_cell.reshape(classes, SLOTS), by_place.reshape(-1, SLOTS))]
+        rows = 1 << int(np.log2(min(max(words.tokens // TOKENS_A_ROW, LEAST_ROWS), MOST_ROWS)))
         return cls(
-            words, np.append(klass, rare), slot, share, np.log(np.maximum(mass / mass.sum(), 1e-30)).astype(np.float32), slot_bias,
-            np.zeros((CLASS_ROWS, classes), dtype=np.float32), np.zeros((SLOT_ROWS, SLOTS), dtype=np.float32),
+            words, klass, slot, np.where(alone, -1, cell), place, np.concatenate([np.zeros(words.size), -np.log(words.rare_mass)]),
+            [np.log(np.where(x > 0, x, NEVER)).astype(np.float32) for x in shares], [np.zeros((rows, x.shape[1]), dtype=np.float32) for x in shares],
         )
 
-    def features(self, tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    def features(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Hashes of the context features of the tokens standing ``at``: one, two, three before, and the last two."""
         one, two, three = (tokens[at - k].astype(np.uint64) for k in (1, 2, 3))
-        salt = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-        pair = (one * np.uint64(65_599) + two + np.uint64(1)) * salt[1]
-        return [(one + np.uint64(1)) * salt[0], (two + np.uint64(1)) * salt[1] ^ salt[2], (three + np.uint64(1)) * salt[2] ^ salt[0], pair ^ (pair >> np.uint64(31))]
-
-    @staticmethod
-    def _row(feature: np.ndarray, rows: int) -> np.ndarray:
-        return (feature >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
-
-    def class_at(self, features: list[np.ndarray]) -> list[np.ndarray]:
-        return [self._row(f, CLASS_ROWS) for f in features]
-
-    def slot_at(self, features: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
-        """Rows of the second table, by class and feature."""
-        c = (klass.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        return [self._row((f ^ c) * np.uint64(0x9E3779B97F4A7C15), SLOT_ROWS) for f in features]
-
-    @staticmethod
-    def sums(bias: np.ndarray, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-        """Bias and weight rows added up, less the greatest sum of each token."""
-        z = table[at[0]]
-        for rows in at[1:]:
-            z += table[rows]
-        z += bias
-        z -= z.max(axis=1, keepdims=True)
-        return z
-
-    @classmethod
-    def softmax(cls, bias: np.ndarray, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-        z = cls.sums(bias, table, at)
+        pair = (one * np.uint64(65_599) + two + np.uint64(1)) * _SALT[1]
+        return np.stack([(one + np.uint64(1)) * _SALT[0], (two + np.uint64(1)) * _SALT[1] ^ _SALT[2], (three + np.uint64(1)) * _SALT[2] ^ _SALT[0], pair ^ (pair >> np.uint64(31))])
+
+    def levels(self, features: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: its number, which of the tokens have a choice there, what they depend on, their rows by feature, and what is right."""
+        klass, group = self.klass[target], self.group[target]
+        some = np.flatnonzero(klass > 0)  # the end is a class alone
+        grouped = np.flatnonzero(group >= 0)
+        yield 0, np.arange(len(target)), np.zeros(len(target), dtype=np.int64), self._rows(features), klass
+        yield 1, some, klass[some], self._rows(features[:, some] ^ _spread(klass[some] + 1)), self.slot[target[some]]
+        yield 2, grouped, group[grouped], self._rows(features[:, grouped] ^ _spread(group[grouped] + CLASSES + 1)), self.place[target[grouped]]
+
+    def _rows(self, features: np.ndarray) -> np.ndarray:
+        rows = len(self.tables[0])
+        return (features * _SALT[0] >> np.uint64(64 - rows.bit_length() + 1)).astype(np.uint16)
+
+    def exponentials(self, level: int, given: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of bias and weight rows added up, kept within MOST_SUM, and its total for each token."""
+        table = self.tables[level]
+        z = table.take(rows[0], axis=0)
+        for r in rows[1:]:
+            z += table.take(r, axis=0)
+        z += self.biases[level].take(given, axis=0) if len(self.biases[level]) > 1 else self.biases[level]
+        np.maximum(np.minimum(z, MOST_SUM, out=z), -MOST_SUM, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
-
-    @classmethod
-    def log_softmax(cls, bias: np.ndarray, table: np.ndarray, at: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        z = cls.sums(bias, table, at)
-        own = z[np.arange(len(z)), target].astype(np.float64)
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        return z, z @ np.ones(z.shape[1], dtype=np.float32)
 
     def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Natural log of each token's probability in its context, but for the share of rare words in their class."""
-        features = self.features(tokens, at)
-        klass = self.klass[tokens[at]]
-        out = self.log_softmax(self.class_bias, self.class_rows, self.class_at(features), klass) + self.rest[tokens[at]]
-        some = np.flatnonzero((klass > 0) & (klass < len(self.class_bias) - 1))
-        k = klass[some]
-        out[some] += self.log_softmax(self.slot_bias[k], self.slot_rows, self.slot_at([f[some] for f in features], k), self.slot[tokens[at[some]]])
+        """Natural log of each token's probability in its context, but for the count of a rare word."""
+        target = tokens[at]
+        out = self.rest[target]
+        for level, some, given, rows, right in self.levels(self.features(tokens, at), target):
+            z, total = self.exponentials(level, given, rows)
+            out[some] += np.log(z[np.arange(len(z)), right] / total)
         return out
 
 
+#: Odd multipliers that spread features over rows (fixed values).
+_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _spread(given: np.ndarray) -> np.ndarray:
+    h = given.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def as_items(table: np.ndarray) -> np.ndarray:
+    """Each row as one item, which numpy copies whole."""
+    return table.view(f"V{table.itemsize * table.shape[1]}")[:, 0]
+
+
+def grouped_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, singly: int = 16) -> np.ndarray:
+    """Rows of ``values`` summed by group. Group i is so many rows from ``starts[i]`` in ``order``; the largest come first.
+
+    Most groups are small: their k-th rows are added for all groups at once; what
+    a group has beyond ``singly`` rows is summed group by group.
+    """
+    out = values.take(order[starts], axis=0)
+    for k in range(1, singly):
+        more = int(np.searchsorted(-counts, -k))  # groups of over k rows
+        if not more:
+            break
+        out[:more] += values.take(order[starts[:more] + k], axis=0)
+    for i in range(int(np.searchsorted(-counts, -singly))):
+        out[i] += values.take(order[starts[i] + singly : starts[i] + counts[i]], axis=0).sum(axis=0)
+    return out
+
+
 class Trainer:
     """AdaGrad over one task's share of the training texts."""
 
     def __init__(self, model: MaxentModel, rate: float) -> None:
-        self.model, self.rate = model, rate
-        self.tables = [model.class_rows.copy(), model.slot_rows.copy()]
-        self.before = [model.class_rows, model.slot_rows]
-        self.squares = [np.full(len(t), 1e-2, dtype=np.float32) for t in self.tables]
-        self.seen = [np.zeros((len(t), 1), dtype=np.float32) for t in self.tables]
-
-    def _step(self, which: int, bias: np.ndarray, at: list[np.ndarray], target: np.ndarray) -> None:
-        table, n = self.tables[which], len(target)
-        gradient = self.model.softmax(bias, table, at)
-        gradient[np.arange(n), target] -= 1
-        rows = np.concatenate(at)
-        order = np.argsort(rows, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-        touched = rows[order][starts]
-        sums = np.add.reduceat(gradient[order % n], starts, axis=0)
-        counts = np.diff(starts, append=len(order)).astype(np.float32)
-        self.squares[which][touched] += (sums**2).mean(axis=1)
-        self.seen[which][touched, 0] += counts
-        table[touched] -= self.rate * sums / np.sqrt(self.squares[which][touched])[:, None]
+        self.before, self.rate = model.tables, rate
+        self.model = replace(model, tables=[t.copy() for t in model.tables])
+        self.squares = [np.full(len(t), 1e-2, dtype=np.float32) for t in model.tables]
+        self.seen = [np.zeros((len(t), 1), dtype=np.float32) for t in model.tables]
+
+    def _step(self, level: int, given: np.ndarray, rows: np.ndarray, right: np.ndarray) -> None:
+        n = len(right)
+        gradient, total = self.model.exponentials(level, given, rows)
+        gradient *= (1 / total)[:, None]
+        gradient[np.arange(n), right] -= 1
+        flat = rows.reshape(-1)
+        order = np.argsort(flat, kind="stable")  # a radix sort, as rows have 16 bits
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        counts = np.diff(starts, append=len(flat))
+        by_count = np.argsort(-counts, kind="stable")
+        starts, counts = starts[by_count], counts[by_count]
+        touched = flat[starts]
+        sums = grouped_sums(gradient, order % n, starts, counts)
+        squares = self.squares[level][touched] + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        self.squares[level][touched] = squares
+        self.seen[level][touched, 0] += counts
+        table = self.model.tables[level]
+        sums *= (-self.rate / np.sqrt(squares))[:, None]
+        sums += table.take(touched, axis=0)
+        as_items(table)[touched] = as_items(sums)
 
     def train(self, tokens: np.ndarray, at: np.ndarray) -> None:
-        model = self.model
         for a in range(0, len(at), MINIBATCH):
             part = at[a : a + MINIBATCH]
-            features, target = model.features(tokens, part), tokens[part]
-            klass = model.klass[target]
-            self._step(0, model.class_bias, model.class_at(features), klass)
-            some = np.flatnonzero((klass > 0) & (klass < len(model.class_bias) - 1))
-            if len(some):
-                k = klass[some]
-                self._step(1, model.slot_bias[k], model.slot_at([f[some] for f in features], k), model.slot[target[some]])
+            for level, some, given, rows, right in self.model.levels(self.model.features(tokens, part), tokens[part]):
+                if len(some):
+                    self._step(level, given, rows, right)
 
     def changes(self) -> Iterator[tuple[int, int, bytes]]:
-        for which, table in enumerate(self.tables):
-            seen = self.seen[which]
-            yield from blocks_of(which, np.concatenate([(table - self.before[which]) * seen, seen], axis=1))
+        for level, table in enumerate(self.model.tables):
+            seen = self.seen[level]
+            yield from blocks_of(level, np.concatenate([(table - self.before[level]) * seen, seen], axis=1))
 
 
 def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, rate: float = RATE) -> MaxentModel:
     """Gradient rounds over all training texts of ``tokens``."""
-    shapes = [(len(t), t.shape[1] + 1) for t in (model.class_rows, model.slot_rows)]
+    shapes = [(len(t), t.shape[1] + 1) for t in model.tables]
     for turn in range(rounds):
         shared = tokens.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value, rate / (1 + turn))
             for batch in batches:
-                for _, t, sizes in token_batches(batch.column(0), shared.value.words.size):
+                for _, t, sizes in token_batches(batch.column(0), shared.value.words.filler):
                     trainer.train(t, visited(sizes, turn, rounds))
             rows = list(trainer.changes())
             if rows:
                 yield _records(rows)
 
-        changed = summed(tokens.where("training").select("tokens").mapInArrow(run, _BLOCKS), shapes, "f4")
-        for table, sums in zip((model.class_rows, model.slot_rows), changed, strict=True):
-            table += sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        changed = summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), shapes, "f4")
+        shared.unpersist()
+        model = replace(model, tables=[table + sums[:, :-1] / np.maximum(sums[:, -1:], 1) for table, sums in zip(model.tables, changed, strict=True)])
     return model
 
 
 def scored(tokens: DataFrame, model: MaxentModel) -> DataFrame:
-    """doc_id, held_out, n_tokens and, of numbered tokens, how many are known, base and model log10."""
+    """doc_id, held_out, n_tokens, how many numbered tokens are known, base and model log10 but for the counts of rare words."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        base = np.append(np.log10((m.words.count + 0.5) / m.words.base_mass), 0)
-        known = np.append(m.words.count > 0, False)
+        mass = math.log10(m.words.base_mass)
+        base = np.concatenate([np.log10(m.words.count + 0.5) - mass, np.full(RARE_BUCKETS, -mass)])
+        known = np.concatenate([m.words.count > 0, np.zeros(RARE_BUCKETS, dtype=bool)]).astype(np.int64)
         for batch in batches:
-            for first, t, sizes in token_batches(batch.column(3), m.words.size):
+            for first, t, sizes in token_batches(batch.column(3), m.words.filler):
                 at = places(sizes)
                 log = np.concatenate([m.log_probabilities(t, at[a : a + 8192]) for a in range(0, len(at), 8192)])
                 starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in (known[t[at]].astype(np.int64), base[t[at]], log / math.log(10))]
+                sums = [np.add.reduceat(x, starts) for x in (known[t[at]], base[t[at]], log / math.log(10))]
                 rows = slice(first, first + len(sizes))
                 yield pa.record_batch(
                     [*(batch.column(x)[rows] for x in range(3)), pa.array(sizes), *map(pa.array, sums)],
@@ -468,18 +527,14 @@ def scored(tokens: DataFrame, model: MaxentModel) -> DataFrame:
     return columns.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double")
 
 
-def rare_sums(tokens: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """For each text with rare words: how many of them are known, and their log10 in the base and in their class."""
+def rare_sums(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each text with rare words: how many of them are known, and the log10 of their counts."""
     each = tokens.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("key", F.col("r.rare").alias("h"), F.col("r.rare_n").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0)) + 0.5
     return (
         each.join(counts, F.col("h") == F.col("hash"), "left")
         .groupBy("key")
-        .agg(
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("times") * F.log10(count / F.lit(words.base_mass))).alias("rare_base"),
-            F.sum(F.col("times") * F.log10(count / F.lit(words.rare_mass))).alias("rare_model"),
-        )
+        .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(count)).alias("rare_log"))
         .withColumnRenamed("key", "rare_key")
     )
 
@@ -489,7 +544,7 @@ def learn(docs: DataFrame, **options) -> tuple[MaxentModel, Cut, Cut]:
     counts = cut(count_tokens(docs), "counts")
     words = vocabulary(counts.df)
     tokens = cut(tokenised(docs, words).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    klass = classes_of(neighbour_counts(tokens.df, words.size), words)
+    klass = classes_of(neighbour_counts(tokens.df, words), words)
     return train(tokens.df, MaxentModel.start(words, klass), **options), tokens, counts
 
 
@@ -500,16 +555,15 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), training.alias("training"))
     model, tokens, counts = learn(docs, **options)
-    words = model.words
-    rare = rare_sums(tokens.df, counts.df, words)
+    rare = rare_sums(tokens.df, counts.df)
     found = scored(tokens.df, model)
-    zero = F.lit(0.0)
+    log = F.coalesce("rare_log", F.lit(0.0))
     return found.join(rare, F.col("key") == F.col("rare_key"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("model") + F.coalesce("rare_model", zero)).alias("score"),
+        F.lit(model.words.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + log).alias("base_score"),
+        (F.col("model") + log).alias("score"),
     )

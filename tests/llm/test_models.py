@@ -29,6 +29,32 @@ def test_word_hashes_do_not_depend_on_the_batch():
     assert len(set(run_hashes(h, 3).tolist())) == 1 and len(run_hashes(h, 60)) == 0
 
 
+def thue_morse(n):
+    """A word of 2^n letters and its complement, whose polynomial hashes modulo 2^64 agree for any odd base from n = 11."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(make):
+    one, two = thue_morse(11)
+    (c,) = chunks(pa.array([f"{one} {two}"]))
+    keys, hashes, others = list(zip(*c.keys(), strict=True)), c.hashes(), c.hashes(1)
+    assert keys[0] != keys[1] and hashes[0] != hashes[1] and others[0] != others[1]
+    short = ["a", "a\0", "\0a", "a" * 15, "a" * 15 + "\0", "a" * 16, "a" * 14, "abcdefgh", "abcdefg", "abcdefghi"]
+    (c,) = chunks(pa.array([" ".join(short)]))
+    assert len(set(zip(*c.keys(), strict=True))) == len(set(c.hashes().tolist())) == len(short)
+    a, b = next(chunks(pa.array(["a b"]))).hashes()
+    runs = [run_hashes(np.array([{"a": a, "b": b}[x] for x in word]), 2048)[0] for word in (one, two)]
+    assert runs[0] != runs[1]
+    # op1: the second word is not known; op7: no three-word run occurs twice
+    got = {r["doc_id"]: r["n_known"] for r in lm_maxent.score_documents(make([(1, one), (2, two)]), F.col("doc_id") == 1).collect()}
+    assert got == {1: 2, 2: 1}
+    (c,) = chunks(pa.array([f"x y {one} x y {two}"]))
+    assert quality_llr.base_rules(c, [""])["n_repeat_words"].tolist() == [0]
+
+
 def brute_base(text):
     text = text or ""
     w, lines = tokens_of(text), [x for x in text.split("\n") if tokens_of(x)]
@@ -138,18 +164,19 @@ def test_lm_base_score_against_brute_force(make, odd_rows):
 
 
 def test_lm_probabilities_sum_to_one(make):
-    docs = make([(i, " ".join(words(i, 80, size=60))) for i in range(60)]).select("doc_id", "text", F.lit(True).alias("training"))
+    docs = make([(i, " ".join(words(i, 80, size=60) + [f"rare{i}", f"rare{i % 7}"])) for i in range(60)]).select("doc_id", "text", F.lit(True).alias("training"))
     model, _, counts = lm_maxent.learn(docs)
-    size = model.words.size
-    context = np.array([size + 1, 3, 5, 1])
-    total = 0.0
-    for t in range(size):
-        tokens = np.append(context, t)
-        total += math.exp(model.log_probabilities(tokens, np.array([4]))[0])
-    rare = math.exp(model.log_probabilities(np.append(context, size), np.array([4]))[0])
-    known = {r["hash"]: r["n"] for r in counts.df.collect()}
-    left = [n for h, n in known.items() if np.int64(h).astype(np.uint64) not in set(model.words.hash)]
-    total += rare * (sum(n + 0.5 for n in left) + 0.5) / model.words.rare_mass
+    size, filler = model.words.size, model.words.filler
+    context = np.array([filler, 3, size + 5, 1])
+    log = [model.log_probabilities(np.append(context, t), np.array([4]))[0] for t in range(filler)]
+    left = {r["hash"]: r["n"] for r in counts.df.collect()}
+    for h in model.words.hash:
+        left.pop(int(h.astype(np.int64)), None)
+    assert left
+    in_bucket = np.full(lm_maxent.RARE_BUCKETS, 0.5)  # the unknown word
+    for h, n in left.items():
+        in_bucket[lm_maxent.bucket_of(np.array([h]).astype(np.uint64))] += n + 0.5
+    total = np.exp(log[:size]).sum() + (np.exp(log[size:]) * in_bucket).sum()
     assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -162,7 +189,7 @@ def test_lm_learns_order(make):
 def test_lm_with_nothing_to_learn_from(make, odd_rows):
     got = lm_maxent.score_documents(make(odd_rows), F.lit(False)).collect()
     assert len(got) == len(odd_rows)
-    assert all(r["n_known"] == r["train_tokens"] == 0 and r["base_score"] == 0 and r["held_out"] and math.isfinite(r["score"]) for r in got)
+    assert all(r["n_known"] == r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-6 and r["held_out"] and math.isfinite(r["score"]) for r in got)
     assert lm_maxent.score_documents(make([]), F.lit(True)).count() == 0
 
 
@@ -172,12 +199,23 @@ def test_lm_rounds_visit_every_training_token_once():
     assert sorted(at.tolist()) == lm_maxent.places(sizes).tolist()
 
 
-def test_lm_words_in_a_class_depend_on_all_features():
-    n = 10
-    known = lm_maxent.Vocabulary(np.arange(n, dtype=np.uint64), np.arange(n), np.arange(n, 0, -1), 60, n, 0)
+@pytest.mark.parametrize("n", [10, 700])
+def test_lm_every_word_of_a_class_depends_on_all_features(n):
+    known = lm_maxent.Vocabulary(np.arange(n, dtype=np.uint64), np.arange(n), np.arange(n, 0, -1), n * n, n, 0, np.full(lm_maxent.RARE_BUCKETS, 1.5))
     model = lm_maxent.MaxentModel.start(known, np.array([0] + [1] * (n - 1)))
-    model.slot_rows[:] = np.random.default_rng(1).normal(size=model.slot_rows.shape)
-    features = model.features(np.array([3, 4, 5, 6]), np.array([3]))
-    assert len(model.slot_at(features, np.array([1]))) == len(features) == 4
-    one, two = (model.log_probabilities(np.array([first, 4, 5, 6]), np.array([3]))[0] for first in (2, 3))
-    assert one != two
+    for table in model.tables:
+        table[:] = np.random.default_rng(1).normal(size=table.shape)
+    same = {level: [] for level in range(3)}
+    for t in (1, n - 1, n + 3):
+        context = np.array([3, 4, 5, t])
+        features = model.features(context, np.array([3]))
+        assert len(features) == 4
+        own = model.log_probabilities(context, np.array([3]))[0]
+        for k in range(3):
+            other = context.copy()
+            other[k] = 7
+            assert model.log_probabilities(other, np.array([3]))[0] != own
+        for level, some, *_ in model.levels(features, np.array([t])):
+            same[level].append(len(some))
+    assert same[0] == same[1] == [1, 1, 1] and same[2] == [0, int(n == 700), 1]
+    assert len(set(zip(model.klass, model.slot, model.place, strict=True))) == n + lm_maxent.RARE_BUCKETS
