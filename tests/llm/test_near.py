@@ -82,8 +82,9 @@ def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("cap", [32, 4])
-def test_near_texts_against_brute_force(make, odd_rows, cap):
+@pytest.mark.parametrize("turns,most", [(2, 1 << 19), (0, 0)])
+def test_near_texts_against_brute_force(make, odd_rows, turns, most, monkeypatch):
+    monkeypatch.setattr(near_text, "MOST_BROADCAST", most)
     rows, r = list(odd_rows), random.Random(5)
     for k in range(3):
         base = words(50 + k, 120, size=5000)
@@ -94,13 +95,11 @@ def test_near_texts_against_brute_force(make, odd_rows, cap):
             rows.append((1000 * (k + 1) + i, " ".join(copy)))
     sets = {d: set(shingle_hashes((t or "").encode(), 5).tolist()) for d, t, *_ in rows if d is not None}
     docs = make(rows)
-    prints = {r["doc_id"]: r["fp"] % (1 << 64) for r in near_text.fingerprints(docs.select("doc_id", "text"), 5).collect()}
     want = closure(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
-    sure = closure(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 and (prints[a] ^ prints[b]).bit_count() <= 6)
-    kept = near_text.near_dedup_texts(docs, bucket_cap=cap)
+    kept = near_text.near_dedup_texts(docs, turns=turns)
     got = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == docs.columns and None in got
-    assert set(want.values()) <= got - {None} <= set(sure.values())
+    assert got - {None} == set(want.values())
     assert near_text.near_dedup_texts(make([])).count() == 0
 
 
@@ -116,15 +115,37 @@ def edited_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("cap", [32, 1])
-def test_near_texts_far_apart_in_bits_against_brute_force(make, cap):
+def test_near_texts_far_apart_in_bits_against_brute_force(make):
     rows = edited_copies(3)
     sets = {d: set(shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
     prints = {r["doc_id"]: r["fp"] % (1 << 64) for r in near_text.fingerprints(make(rows).select("doc_id", "text"), 5).collect()}
     similar = [10 * k for k in range(60) if jaccard(sets[10 * k], sets[10 * k + 1]) >= 0.8]
     assert sum((prints[d] ^ prints[d + 1]).bit_count() > 10 for d in similar) > 3
     want = closure(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
-    assert {r["doc_id"] for r in near_text.near_dedup_texts(make(rows), bucket_cap=cap).collect()} == set(want.values())
+    assert {r["doc_id"] for r in near_text.near_dedup_texts(make(rows)).collect()} == set(want.values())
+
+
+def test_all_of_500_planted_pairs_are_found(make):
+    """Pairs with a similarity of 0.80 to 0.85, edited at one place or at many."""
+    rows, planted, r, k = [], 0, random.Random(8), 0
+    while planted < 500:
+        n = r.choice([60, 100, 200])
+        copy = base = words(7000 + k, n, size=50_000)
+        if k % 3 == 0:
+            copy = base + words(90_000 + k, n * r.randrange(17, 25) // 100, size=50_000)
+        elif k % 3 == 1:
+            copy = base[: n - n * r.randrange(15, 20) // 100]
+        else:
+            copy = list(base)
+            for p in r.sample(range(n), max(1, n // 50)):
+                copy[p] = "edit"
+        s = [set(shingle_hashes(" ".join(x).encode(), 5).tolist()) for x in (base, copy)]
+        if 0.8 <= jaccard(*s) <= 0.85:
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+            planted += 1
+        k += 1
+    kept = {r["doc_id"] for r in near_text.near_dedup_texts(make(rows)).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
 
 
 def test_common_lines_are_last_in_prefixes(make, monkeypatch):
