@@ -243,8 +243,8 @@ def blocks_of(table: int, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
             yield table, b, part.tobytes()
 
 
-def summed(parts: DataFrame, shapes: list[tuple[int, int]], dtype: str) -> list[np.ndarray]:
-    """Tables added up over all tasks. Blocks of one number meet in one task, which holds no more than its sums."""
+def summed(parts: DataFrame, widths: list[int], dtype: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Tables added up over all tasks, as table, first row and rows. Blocks of one number meet in one task, which holds no more than its sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -258,14 +258,11 @@ def summed(parts: DataFrame, shapes: list[tuple[int, int]], dtype: str) -> list[
         if held:
             yield _records((t, r, x.tobytes()) for (t, r), x in held.items())
 
-    out = [np.zeros(s, dtype=dtype) for s in shapes]
     n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sums = cut(parts.repartition(int(n), "table", "row").mapInArrow(run, _BLOCKS), "sums")
-    for r in sums.df.collect():  # a fixed size
-        values = np.frombuffer(bytes(r["part"]), dtype=dtype).reshape(-1, shapes[r["table"]][1])
-        out[r["table"]][r["row"] : r["row"] + len(values)] = values
+    for r in sums.df.toLocalIterator():  # the tables have a fixed size, and come a part at a time
+        yield r["table"], r["row"], np.frombuffer(bytes(r["part"]), dtype=dtype).reshape(-1, widths[r["table"]])
     sums.drop()
-    return out
 
 
 _BLOCKS = "table int, row int, part binary"
@@ -298,7 +295,10 @@ def neighbour_counts(tokens: DataFrame, words: Vocabulary) -> np.ndarray:
         if rows:
             yield _records(rows)
 
-    return summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), [(size, 2 * NEIGHBOURS)], "i4")[0]
+    out = np.zeros((size, 2 * NEIGHBOURS), dtype=np.int32)
+    for _, row, values in summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), [2 * NEIGHBOURS], "i4"):
+        out[row : row + len(values)] = values
+    return out
 
 
 def classes_of(counts: np.ndarray, words: Vocabulary, classes: int = CLASSES) -> np.ndarray:
@@ -481,8 +481,7 @@ class Trainer:
 
 
 def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, rate: float = RATE) -> MaxentModel:
-    """Gradient rounds over all training texts of ``tokens``."""
-    shapes = [(len(t), t.shape[1] + 1) for t in model.tables]
+    """Gradient rounds over all training texts of ``tokens``. The tables of ``model`` are changed."""
     for turn in range(rounds):
         shared = tokens.sparkSession.sparkContext.broadcast(model)
 
@@ -495,9 +494,9 @@ def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, rate: flo
             if rows:
                 yield _records(rows)
 
-        changed = summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), shapes, "f4")
-        shared.unpersist()
-        model = replace(model, tables=[table + sums[:, :-1] / np.maximum(sums[:, -1:], 1) for table, sums in zip(model.tables, changed, strict=True)])
+        for level, row, values in summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), [t.shape[1] + 1 for t in model.tables], "f4"):
+            model.tables[level][row : row + len(values)] += values[:, :-1] / np.maximum(values[:, -1:], 1)
+        shared.destroy()
     return model
 
 
