@@ -8,10 +8,11 @@ expectation maximisation on a bounded sample of labelled rows: at most
 ``sample_docs`` documents a language, chosen by the hash of their id. What is
 learned is one number for each piece and language.
 
-A word is a run of non-spaces with a space before it, in UTF-8; one longer than
-``WORD_BYTES`` is cut there, whatever its length no text is shortened. Forward
-sums are made for many distinct words at once in numpy; a worker process keeps
-those it has made, up to ``MOST_WORDS``.
+A word is a run of non-spaces with a space before it, in UTF-8. Words of any length
+are summed whole, and all pieces of the vocabulary are used. Forward sums are made
+for many distinct words at once in numpy, those of words longer than
+``LINEAR_BYTES`` on logarithms; a worker process keeps those it has made, up to
+``MOST_WORDS``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is
 every text if nothing could be learned; equal scores go to the language that
@@ -36,60 +37,67 @@ from pyspark.sql import functions as F
 from .common import cut, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LONGEST_PIECE = 12
-WORD_BYTES = 48
+#: Up to this length a word's sums stay in the range of a double.
+LINEAR_BYTES = 48
 MOST_WORDS = 300_000
-MOST_LANGUAGES = 1024
+#: Longer words are not kept.
+KEPT_BYTES = 256
 #: Sums are kept in range by this factor a byte.
 SCALE = 1024.0
 BATCH = 8192
+#: Bytes of a batch of long words.
+BATCH_BYTES = 1 << 17
 
 _WORD_CHARS = re.compile(r"[^\W\d_]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_SLOT_BITS = 19
 
 
 class Pieces:
-    """The vocabulary's pieces up to LONGEST_PIECE bytes, found by hash."""
+    """The vocabulary's pieces as a tree of their bytes. Node 0 is the empty piece."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranked = [(int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, lines)]
-        self.pieces = [p for _, p in sorted(ranked) if len(p) <= LONGEST_PIECE]
-        self.hash = np.zeros(len(self.pieces), dtype=np.uint64)
-        for n in range(1, LONGEST_PIECE + 1):
-            at = [i for i, p in enumerate(self.pieces) if len(p) == n]
-            rows = np.frombuffer(b"".join(self.pieces[i] for i in at), dtype=np.uint8).reshape(-1, n)
-            h = np.zeros(len(at), dtype=np.uint64)
-            for k in range(n):
-                h = extend(h, rows[:, k])
-            self.hash[at] = h
-        self.slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
-        for i, slot in enumerate(self.slot(self.hash).tolist()):
-            while self.slots[slot] >= 0:
-                slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
-            self.slots[slot] = i
+        self.pieces = [p for _, p in sorted(ranked)]
+        nodes: dict[bytes, int] = {b"": 0}
+        edges: list[int] = []  # parent and byte of each further node
+        for p in self.pieces:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in nodes:
+                    nodes[p[:n]] = len(nodes)
+                    edges.append(nodes[p[: n - 1]] << 8 | p[n - 1])
+        self.piece = np.full(len(nodes), -1, dtype=np.int32)  #: of each node, -1 where no piece ends
+        self.piece[[nodes[p] for p in self.pieces]] = np.arange(len(self.pieces))
+        self.keys = np.array(edges, dtype=np.int64)
+        bits = 2 + len(edges).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(edges), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
     def __len__(self) -> int:
         return len(self.pieces)
 
-    @staticmethod
-    def slot(h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * _SPREAD >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash, -1 where there is none."""
-        slot = self.slot(h)
+    def step(self, nodes: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node that follows each node by a byte, -1 where no piece goes on so."""
+        keys = nodes.astype(np.int64) << 8 | byte
+        slot = self._slot(keys)
         found = self.slots[slot]
-        open_ = np.flatnonzero(found >= 0)
-        open_ = open_[self.hash[found[open_]] != h[open_]]
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << _SLOT_BITS) - 1)
-            found[open_] = self.slots[slot[open_]]
-            open_ = open_[found[open_] >= 0]
-            open_ = open_[self.hash[found[open_]] != h[open_]]
-        return found
+        going = np.flatnonzero(found >= 0)
+        going = going[self.keys[found[going]] != keys[going]]
+        while len(going):
+            slot[going] = (slot[going] + 1) & (len(self.slots) - 1)
+            found[going] = self.slots[slot[going]]
+            going = going[found[going] >= 0]
+            going = going[self.keys[found[going]] != keys[going]]
+        return np.where(found >= 0, found + 1, -1)
 
     def prior(self) -> np.ndarray:
         """Piece probabilities before anything is learned, by rank in the vocabulary."""
@@ -97,10 +105,6 @@ class Pieces:
         return p / p.sum()
 
 
-def extend(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    return h * _BASE + byte.astype(np.uint64) + np.uint64(1)
-
-
 _vocabularies: dict[str, Pieces] = {}
 
 
@@ -115,71 +119,106 @@ def has_letter(text: str) -> bool:
 
 
 def words_of(text: str) -> list[bytes]:
-    """The text's words with a space before each, cut to WORD_BYTES."""
-    words = [b" " + w for w in text.encode().split()]
-    if any(len(w) > WORD_BYTES for w in words):
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-    return words
+    """The text's words with a space before each."""
+    return [b" " + w for w in text.encode().split()]
+
+
+def batches_of(words: list[bytes]) -> Iterator[slice]:
+    """Batches of words that are in order of length: BATCH short ones, or long ones of about BATCH_BYTES."""
+    at = 0
+    while at < len(words):
+        short = len(words[at]) <= LINEAR_BYTES
+        stop, n = at, 0
+        while stop < len(words) and stop - at < BATCH and (len(words[stop]) <= LINEAR_BYTES) == short and (short or n < BATCH_BYTES):
+            n += len(words[stop])
+            stop += 1
+        yield slice(at, stop)
+        at = stop
 
 
 class Lattice:
-    """All segmentations of a batch of words."""
+    """All segmentations of a batch of words, as arcs: a piece from one place of a word to another.
+
+    Place 0 of a word is its begin. Places of all words are numbered through.
+    """
 
     def __init__(self, words: list[bytes], pieces: Pieces) -> None:
-        lengths = np.array([len(w) for w in words])
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        width = int(self.lengths[0])
-        self.n, self.width = len(words), width
-        chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)[self.order].T
-        #: for each end, the words that reach it and (length, which of them, piece)
-        self.reach = [int(np.searchsorted(-self.lengths, -j, side="right")) for j in range(width + 1)]
-        self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
-        open_: list[np.ndarray] = []  # hashes of what began 1, 2, .. bytes ago
-        for j in range(1, width + 1):
-            m = self.reach[j]
-            byte = chars[j - 1, :m]
-            open_ = [extend(h[:m], byte) for h in [np.zeros(m, dtype=np.uint64), *open_[: LONGEST_PIECE - 1]]]
-            arcs = []
-            for n, h in enumerate(open_, start=1):
-                found = pieces.find(h)
-                hit = np.flatnonzero(found >= 0)
-                if len(hit):
-                    arcs.append((n, hit, found[hit]))
-            self.arcs.append(arcs)
+        self.lengths = np.array([len(w) for w in words])
+        self.n, self.width = len(words), int(self.lengths.max())
+        self.logs = self.width > LINEAR_BYTES
+        chars = np.frombuffer(b"".join(words), dtype=np.uint8)
+        word = np.repeat(np.arange(self.n), self.lengths)
+        first = np.cumsum(self.lengths) - self.lengths
+        at = np.arange(len(chars))  # where each open piece began
+        left = (first + self.lengths)[word] - at
+        node = np.zeros(len(chars), dtype=np.int64)
+        begins, ends, found = [], [], []
+        n = 0
+        while len(at):
+            node = pieces.step(node, chars[at + n])
+            n += 1
+            alive = node >= 0
+            at, node, left = at[alive], node[alive], left[alive]
+            piece = pieces.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            begins.append(at[hit])
+            ends.append(at[hit] + n)
+            found.append(piece[hit])
+            more = left > n
+            at, node, left = at[more], node[more], left[more]
+        begin, end, piece = np.concatenate(begins), np.concatenate(ends), np.concatenate(found)
+        word = word[begin]
+        self.size = len(chars) + self.n  # a word has one more place than bytes
+        self.begin, self.end, self.piece = begin + word, end + word, piece
+        self.bytes = end - begin
+        self.first = first + np.arange(self.n)
+        self.last = self.first + self.lengths
+        self.up = self._steps(end - first[word], self.end)
+        self.down = self._steps(-(begin - first[word]), self.begin)
+
+    @staticmethod
+    def _steps(place: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arcs by the place in their word that they lead to, those of one target side by side: arcs, where each target's begin, and targets."""
+        order = np.lexsort((target, place))
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(target[part]) > 0])) if len(part) else part
+            out.append((part, starts, target[part[starts]]))
+        return out
+
+    def _carried(self, values: np.ndarray, steps, come_from: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """``values`` by place, with all arcs followed in the order of ``steps``."""
+        for arcs, starts, target in steps:
+            came, piece = values[come_from[arcs]], self.piece[arcs]
+            if self.logs:
+                values[target] = np.logaddexp(values[target], np.logaddexp.reduceat(came + np.log(p[piece]), starts, axis=0))
+            else:
+                values[target] += np.add.reduceat(came * p[piece] * (SCALE ** self.bytes[arcs])[:, None], starts, axis=0)
+        return values
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[j, word, language], scaled by SCALE ** j."""
-        scaled = [p * SCALE**n for n in range(LONGEST_PIECE + 1)]
-        alpha = np.zeros((self.width + 1, self.n, p.shape[1]))
-        alpha[0] = 1
-        for j in range(1, self.width + 1):
-            for n, hit, piece in self.arcs[j]:
-                alpha[j, hit] += alpha[j - n, hit] * scaled[n][piece]
-        return alpha
-
-    def totals(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[self.lengths, np.arange(self.n)]
+        """By place and language, all ways to get there: scaled by SCALE for each byte, or as logarithms."""
+        alpha = np.full((self.size, p.shape[1]), -np.inf if self.logs else 0.0)
+        alpha[self.first] = 0.0 if self.logs else 1.0
+        return self._carried(alpha, self.up, self.begin, p)
 
     def log_probabilities(self, p: np.ndarray) -> np.ndarray:
-        """Natural log of each word's probability in each language, in the words' own order."""
-        out = np.empty((self.n, p.shape[1]))
-        out[self.order] = np.log(self.totals(self.forward(p))) - (self.lengths * np.log(SCALE))[:, None]
-        return out
+        """Natural log of each word's probability in each language."""
+        totals = self.forward(p)[self.last]
+        return totals if self.logs else np.log(totals) - (self.lengths * np.log(SCALE))[:, None]
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language, for words that occur ``weights`` times."""
         alpha = self.forward(p)
-        beta = np.zeros_like(alpha)
-        beta[self.lengths, np.arange(self.n)] = weights[self.order] / self.totals(alpha)
-        counts = np.zeros(p.shape)
-        for j in range(self.width, 0, -1):
-            for n, hit, piece in self.arcs[j]:
-                flow = beta[j, hit] * p[piece] * SCALE**n
-                for k in range(p.shape[1]):
-                    counts[:, k] += np.bincount(piece, weights=alpha[j - n, hit, k] * flow[:, k], minlength=len(p))
-                beta[j - n, hit] += flow
-        return counts
+        beta = np.full_like(alpha, -np.inf if self.logs else 0.0)
+        with np.errstate(divide="ignore"):
+            beta[self.last] = np.log(weights) - alpha[self.last] if self.logs else weights / alpha[self.last]
+        beta = self._carried(beta, self.down, self.end, p)
+        if self.logs:
+            flow = np.exp(alpha[self.begin] + beta[self.end] + np.log(p[self.piece]))
+        else:
+            flow = alpha[self.begin] * beta[self.end] * p[self.piece] * (SCALE**self.bytes)[:, None]
+        return np.stack([np.bincount(self.piece, weights=flow[:, k], minlength=len(p)) for k in range(p.shape[1])], axis=1)
 
 
 @dataclass
@@ -191,6 +230,7 @@ class LanguageModel:
     vocabulary: str = VOCABULARY
     known: dict[bytes, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
+    long: bool = False  #: whether words that are too long to be kept are among them
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "scores": None}
@@ -199,7 +239,7 @@ class LanguageModel:
         """Keep the scores of words not met before."""
         words.sort(key=len)
         pieces = vocabulary(self.vocabulary)
-        made = [Lattice(words[i : i + BATCH], pieces).log_probabilities(self.p) for i in range(0, len(words), BATCH)]
+        made = [Lattice(words[part], pieces).log_probabilities(self.p) for part in batches_of(words)]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.scores = np.concatenate([*([] if self.scores is None else [self.scores]), *made])
 
@@ -207,10 +247,11 @@ class LanguageModel:
         """The language of each text, and how probable it is among the languages."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        if len(self.known) > MOST_WORDS:
-            self.known, self.scores = {}, None
+        if len(self.known) > MOST_WORDS or self.long:
+            self.known, self.scores, self.long = {}, None, False
         words = [words_of(x) if has_letter(x) else [] for x in texts]
         new = set().union(*words).difference(self.known)
+        self.long = any(len(w) > KEPT_BYTES for w in new)
         if new:
             self.learn(list(new))
         counts = np.array([len(w) for w in words])
@@ -227,9 +268,7 @@ class LanguageModel:
 
 def sampled(labelled: DataFrame, sample_docs: int) -> tuple[DataFrame, list[str]]:
     """About ``sample_docs`` rows of each language at most, by hash of the id, and the languages."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row a language
     whole = 1 << 20
     shares = {r["lang"]: min(1.0, sample_docs / r["n"]) for r in sizes}
     if not shares:
@@ -279,9 +318,9 @@ def fit(labelled: DataFrame, sample_docs: int = 3000, rounds: int = 3, smoothing
                 weights = np.zeros((len(words), len(languages)))
                 weights[np.arange(len(words)), at] = batch.column(2).to_numpy()
                 order = np.argsort([len(w) for w in words], kind="stable")
-                for i in range(0, len(order), BATCH):
-                    part = order[i : i + BATCH]
-                    counts += Lattice([words[k] for k in part], pieces).expected(now, weights[part])
+                words, weights = [words[k] for k in order], weights[order]
+                for part in batches_of(words):
+                    counts += Lattice(words[part], pieces).expected(now, weights[part])
             piece, language = np.nonzero(counts)
             yield pa.record_batch([pa.array(piece.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(counts[piece, language])], names=["piece", "language", "n"])
 

@@ -106,9 +106,9 @@ def test_forward_sums_all_segmentations():
     def total(word, k):
         if not word:
             return 1.0
-        return sum(p[number[word[:n]], k] * total(word[n:], k) for n in range(1, min(len(word), language_id.LONGEST_PIECE) + 1) if word[:n] in number)
+        return sum(p[number[word[:n]], k] * total(word[n:], k) for n in range(1, len(word) + 1) if word[:n] in number)
 
-    tried = [b" the", b" heading", b" \xc3\xa9", b"x", b" of", b" straightfor"]
+    tried = [b" the", b" heading", b" \xc3\xa9", b"x", b" of", b" straightfor", b" " * 17]
     got = language_id.Lattice(tried, pieces).log_probabilities(p)
     assert got == pytest.approx(np.log([[total(w, k) for k in (0, 1)] for w in tried]))
     uses = language_id.Lattice(tried, pieces).expected(p, np.ones((len(tried), 2)))
@@ -116,6 +116,29 @@ def test_forward_sums_all_segmentations():
     assert lengths @ uses == pytest.approx(sum(map(len, tried)))
 
 
+def test_long_words_are_summed_whole():
+    pieces = language_id.vocabulary(language_id.VOCABULARY)
+    assert len(pieces) == 50_256 and max(map(len, pieces.pieces)) > 100
+    p = np.stack([pieces.prior(), pieces.prior()[::-1]], axis=1)
+    word = b" " + ("日本語の長い文" * 9).encode()  # cuts at any byte would fall inside characters
+    tried = [word[:n] for n in (30, 48, 49, 100, 150)] + [b"=" * 200, b"-" * 60]
+    got = language_id.Lattice(tried, pieces).log_probabilities(p)
+    number = {x: i for i, x in enumerate(pieces.pieces)}
+    for w, own in zip(tried, got, strict=True):
+        for k in (0, 1):
+            alpha = [0.0]
+            for j in range(1, len(w) + 1):
+                alpha.append(np.logaddexp.reduce([alpha[i] + math.log(p[number[w[i:j]], k]) for i in range(j) if w[i:j] in number]))
+            assert own[k] == pytest.approx(alpha[-1])
+    short, long = language_id.Lattice([b" heading"], pieces), language_id.Lattice([b" heading", word], pieces)
+    assert long.logs and not short.logs
+    uses = short.expected(p, np.ones((1, 2)))
+    more = long.expected(p, np.array([[1.0, 1.0], [0.0, 0.0]]))
+    assert more == pytest.approx(uses, abs=1e-9)
+    lengths = np.array([len(x) for x in pieces.pieces])
+    assert lengths @ long.expected(p, np.array([[0.0, 0.0], [2.0, 1.0]])) == pytest.approx([2 * len(word), len(word)])
+
+
 def language_rows():
     roots = {"en": "the of and ing tion house", "de": "der und ung keit schl haus", "fr": "le les et eaux tion mai"}
     rows = []
