@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Ids that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 19
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,12 +29,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def joined_by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) among the doc_id of ``ids``, a table; null is an id.
+
+    Up to ``MOST_BROADCAST`` ids are broadcast, so that no text moves.
+    """
+    wanted = ids.select(F.col("doc_id").alias("__wanted_id"))
+    wanted = F.broadcast(wanted) if ids.count() <= MOST_BROADCAST else wanted
+    return docs.join(wanted, docs[id_col].eqNullSafe(F.col("__wanted_id")), how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    Only a local session that names none (a test) gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='loamwork-')}"
         spark.conf.set("spark.checkpoint.dir", named)

@@ -1,65 +1,61 @@
 """Exact dedup: groups by 128-bit content hash, bytes compared within a group.
 
 Built of DataFrame functions only. Texts are equal when they are identical
-after every character of ``[\\x20\\x09-\\x0D]`` is deleted. Whole texts move once:
-the first aggregate groups by (hash, normalised text), so rows stand together
-only if all their bytes agree, and copies combine before the shuffle whatever
-their number. What follows carries hashes and counts alone.
-
-Defined cases: a null text counts as empty, and empty texts equal each other;
-rows that repeat a doc_id with the same text are one document, stay or go
-together and count singly in ``group_size``; a row with null doc_id ranks after
-all others, and such rows stay if one of them stays; an empty table gives an empty result. Other columns pass through
-``exact_dedup`` untouched and cannot clash with the operator's own.
+after every character of ``[\\x20\\x09-\\x0D]`` is deleted. One pass makes a narrow
+table of ids and hashes, and grouping goes over that. Whole texts move only where
+a hash is met more than once: those are grouped by (hash, normalised text), so rows
+stand together only if all their bytes agree, and copies combine before the shuffle
+whatever their number. What follows carries hashes and counts alone. The ids whose
+texts are looked at, and those that go, are broadcast up to ``MOST_BROADCAST`` of
+them and joined by a shuffle beyond that.
+
+Defined cases: a null text counts as empty, and empty texts equal each other; ids
+are of any type that has an order; rows that repeat a doc_id with the same text are
+one document, stay or go together and count singly in ``group_size``; of rows that
+repeat a doc_id with other texts all stay if one stays; a row with null doc_id ranks
+after all others, and such rows stay if one of them stays; an empty table gives an
+empty result. Other columns pass through ``exact_dedup`` untouched and cannot clash
+with the operator's own.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, cut, joined_by_id, text_or_empty
 
-_LAST = (1 << 63) - 1
 
+def normalised(text_col: str = "text") -> Column:
+    return F.regexp_replace(text_or_empty(text_col), SPACE, "")
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, normalised text, its 128-bit hash, and the key by which rows rank.
 
-    The key is one decimal that is larger for more code points in the original
-    text, then for a smaller id, so that an ordinary hash aggregate finds the
-    row that stays.
-    """
-    text = text_or_empty(text_col)
-    rank = F.length(text).cast("decimal(38,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + (
-        F.lit(_LAST).cast("decimal(20,0)") - F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).cast("decimal(20,0)")
-    )
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_replace(text, SPACE, "").alias("norm"),
-        rank.cast("decimal(38,0)").alias("rank_key"),
-    ).withColumn("hash", F.md5("norm"))
+def content_hash(norm: Column) -> Column:
+    return F.unhex(F.md5(norm))
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each class of equal texts: hash, text_sha256, keep_id, group_size.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, and of the normalised text the 128-bit hash and SHA-256."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
+    return rows.select("doc_id", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
+
+
+def duplicate_classes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """class_hash, class_sha256, group_size and keep_id of each class of equal texts whose hash more than one row of ``prints`` has.
 
     Two texts that share the hash but differ in a byte are two classes here.
     """
-    rank = F.col("best")
-    kept = F.lit(_LAST).cast("decimal(20,0)") - F.pmod(rank, F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
+    often = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    ids = cut(prints.join(often, "hash", "left_semi").select("doc_id").distinct(), "ids").df
+    text = text_or_empty(text_col)
+    members = joined_by_id(docs, ids, id_col, "left_semi").select(
+        normalised(text_col).alias("norm"), F.struct((-F.length(text)).alias("length"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id")).alias("rank")
+    )
     return (
-        fingerprints(docs, id_col, text_col)
+        members.withColumn("hash", content_hash(F.col("norm")))
         .groupBy("hash", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("rank_key").alias("best"))
-        .select(
-            F.col("hash").alias("class_hash"),
-            F.sha2("norm", 256).alias("class_sha256"),
-            "group_size",
-            F.nullif(kept.cast("long"), F.lit(_LAST)).alias("keep_id"),
-        )
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min("rank").alias("best"))
+        .select(F.col("hash").alias("class_hash"), F.sha2("norm", 256).alias("class_sha256"), "group_size", F.col("best.id").alias("keep_id"))
     )
 
 
@@ -67,23 +63,19 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     A row finds its class by hash and SHA-256, a narrow join whose hot keys
-    Spark's skew join splits.
+    Spark's skew join splits; a row without a class is alone.
     """
-    rows = fingerprints(docs, id_col, text_col).select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
-    classes = duplicate_classes(docs, id_col, text_col)
-    return rows.join(
-        classes, (rows["hash"] == classes["class_hash"]) & (rows["text_sha256"] == classes["class_sha256"])
-    ).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+    rows = cut(fingerprints(docs, id_col, text_col), "hashes").df
+    classes = cut(duplicate_classes(docs, rows, id_col, text_col), "classes").df
+    found = rows.join(classes, (F.col("hash") == F.col("class_hash")) & (F.col("text_sha256") == F.col("class_sha256")), "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and no others."""
-    marked = mark_duplicates(docs, id_col, text_col).where("kept")
-    kept = marked.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    marked = mark_duplicates(docs, id_col, text_col)
+    gone = cut(marked.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"), "gone").df
+    return joined_by_id(docs, gone, id_col, "left_anti")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loamwork.llm import near_text, simhash
+from loamwork.llm import common, near_text, simhash
 from loamwork.llm.components import components
 from loamwork.llm.simhash import allocate, fingerprint, group_bits, near_dedup, near_duplicates, shingle_hashes
 
@@ -84,7 +84,7 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("turns,most", [(2, 1 << 19), (0, 0)])
 def test_near_texts_against_brute_force(make, odd_rows, turns, most, monkeypatch):
-    monkeypatch.setattr(near_text, "MOST_BROADCAST", most)
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     rows, r = list(odd_rows), random.Random(5)
     for k in range(3):
         base = words(50 + k, 120, size=5000)
