@@ -4,7 +4,9 @@ Tokens are summed per source, targets give each source its rate of
 repetition, and a document is emitted floor(rate) times plus one more time if
 the hash of its id falls below the fraction. All of it is DataFrame functions;
 only one narrow row per source is ever gathered, to rank the sources and to
-find the level at which their targets stop.
+find the level at which their targets stop. Rates come back to the documents by
+broadcast up to ``MOST_SOURCES`` sources, so that no text moves and a hot source is
+no hot task; beyond that by a join.
 
 Defined cases: a null text has size 0; null is a source like any other and
 ranks last; a source whose sizes sum to 0 has target 0 and rate 0; rows that
@@ -19,7 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, cut, text_or_empty
+
+#: Sources whose rates are broadcast, at most.
+MOST_SOURCES = 1 << 16
 
 
 def n_words(text_col: str = "text") -> Column:
@@ -69,6 +74,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     )
 
 
+def with_rates(rows: DataFrame, targets: DataFrame, source_col: str) -> DataFrame:
+    """``rows`` with __source_size, __target and __rate of their source; ``targets`` is a table."""
+    rates = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    rates = F.broadcast(rates) if targets.count() <= MOST_SOURCES else rates
+    return rows.join(rates, rows[source_col].eqNullSafe(F.col("__source")))
+
+
+def _copies(id_col: str, seed: int) -> Column:
+    rate = F.col("__rate")
+    return (F.floor(rate) + (uniform(id_col, seed) < rate - F.floor(rate)).cast("int")).cast("int")
+
+
 def mixed_copies(
     docs: DataFrame,
     size: Column,
@@ -77,20 +94,20 @@ def mixed_copies(
     weights: Sequence[float] = (1, 2, 3),
     most: int = 3,
     seed: int = 0,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row, and the columns in ``carry``."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.struct(*carry).alias("__row")] * bool(carry)
-    )
-    targets = source_targets(rows, weights, most).withColumnRenamed("source", "__source")
-    copies = F.floor("rate") + (uniform("doc_id", seed) < F.col("rate") - F.floor("rate")).cast("int")
-    return rows.join(targets, rows["source"].eqNullSafe(targets["__source"])).select(
-        *rows.columns, "source_size", "target", copies.cast("int").alias("copies")
+    """doc_id, source, size, source_size, target, copies for every row. Sizes are taken once, into a narrow table."""
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes").df
+    targets = cut(source_targets(rows, weights, most), "targets").df
+    return with_rates(rows, targets, "source").select(
+        *rows.columns, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), _copies("doc_id", seed).alias("copies")
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0
+) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    copies = mixed_copies(docs, n_words(text_col), id_col, source_col, carry=docs.columns, **options)
-    return copies.where("copies > 0").select("__row.*", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")).drop("__copy")
+    sizes = docs.select(F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    targets = cut(source_targets(sizes, weights, most), "targets").df
+    taken = with_rates(docs, targets, source_col).withColumn("__copies", _copies(id_col, seed)).where("__copies > 0")
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")

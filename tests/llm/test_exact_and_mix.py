@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from loamwork.llm import queries
-from loamwork.llm.exact_dedup import duplicate_classes, exact_dedup, fingerprints, mark_duplicates
+from loamwork.llm.exact_dedup import exact_dedup, mark_duplicates
 from loamwork.llm.mixing import mix, mixed_copies, n_words, source_targets
 
 
@@ -30,15 +30,26 @@ def test_exact_dedup_against_brute_force(make, odd_rows):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == want
 
 
-def test_texts_that_share_the_hash_are_told_apart_by_their_bytes(make, monkeypatch):
+def test_ids_of_any_order_and_at_the_ends_of_their_range(spark, make):
+    last = (1 << 63) - 1
+    rows = [(last, "a"), (5, "b"), (-last - 1, "c d"), (last, "cd"), (0, "a ")]
+    assert sorted(map(tuple, mark_duplicates(make(rows)).collect()), key=str) == brute_classes(rows)
+    assert {r["doc_id"] for r in exact_dedup(make([(last, "a"), (5, "b")])).collect()} == {last, 5}
+    named = spark.createDataFrame([("x", "a"), ("b", "a"), (None, "a"), ("c", "z")], "doc_id string, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in mark_duplicates(named).collect()} == {("x", "b"), ("b", "b"), (None, "b"), ("c", "c")}
+    assert {r["doc_id"] for r in exact_dedup(named).collect()} == {"b", "c"}
+
+
+@pytest.mark.parametrize("most", [1 << 19, 0])
+def test_texts_that_share_the_hash_are_told_apart_by_their_bytes(make, monkeypatch, most):
+    from loamwork.llm import common
     from loamwork.llm import exact_dedup as module
     from pyspark.sql import functions as F
 
-    plain = fingerprints
-    monkeypatch.setattr(module, "fingerprints", lambda *a: plain(*a).withColumn("hash", F.lit("same")))
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
+    monkeypatch.setattr(module, "content_hash", lambda norm: F.when(norm.isNotNull(), F.unhex(F.lit("00"))))
     got = {r["doc_id"]: r["keep_id"] for r in mark_duplicates(make([(1, "x y"), (2, "xy"), (3, "z")])).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
-    assert duplicate_classes(make([(1, "a"), (2, "b")])).count() == 2
 
 
 def test_empty_tables(make):
@@ -69,7 +80,11 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(fill(sizes, {s: i % 3 + 1 for i, s in enumerate(names)}, 3))
 
 
-def test_mix(make, odd_rows):
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_mix(make, odd_rows, monkeypatch, most):
+    from loamwork.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
     docs = make(odd_rows)
     copies = mixed_copies(docs, n_words())
     rows = copies.collect()
