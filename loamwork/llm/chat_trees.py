@@ -14,7 +14,8 @@ each backslash and before the bracket of each control string, so control strings
 of the template occur only where the template put them and the text can be read
 back exactly. Loss falls on assistant texts, given as spans of code points.
 
-Defined cases: a null text is empty and a null role is the empty role; a message
+Defined cases: null is a conversation like any other; a null text is empty and a
+null role is the empty role; a message
 whose parent is missing starts a tree; messages in a cycle have no root and no
 leaf and are left out; equal scores go to the smaller leaf id; repeated turns are
 put in order by role and text; an empty table gives an empty result.
@@ -92,7 +93,7 @@ def _rounds(jumps: DataFrame):
     most = count.bit_length() + 1  # a path is no longer than there are jumps; what goes on is a cycle
     while count and most:
         yield table.df
-        further = table.df.alias("a").join(table.df.alias("b"), (F.col("a.conv") == F.col("b.conv")) & (F.col("a.up") == F.col("b.id")))
+        further = table.df.alias("a").join(table.df.alias("b"), (F.col("a.conv").eqNullSafe(F.col("b.conv"))) & (F.col("a.up") == F.col("b.id")))
         columns = [F.col("a.conv").alias("conv"), F.col("a.id").alias("id"), F.col("b.up").alias("up")]
         columns += [(F.col(f"a.{x}") + F.col(f"b.{x}")).alias(x) for x in jumps.columns[3:]]
         table = cut(further.select(*columns), "jumps")
@@ -106,19 +107,20 @@ def chosen_paths(messages: DataFrame, per_conversation: int = 1) -> DataFrame:
     and score. It is read several times and should be a table.
     """
     known = messages.select(F.col("conv").alias("c"), F.col("id").alias("p"))
-    linked = messages.join(known, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("p")), "left").withColumn("parent", F.col("p")).drop("c", "p")
+    linked = messages.join(known, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("p")), "left").withColumn("parent", F.col("p")).drop("c", "p")
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     edges = linked.where("parent is not null").select("conv", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), score.alias("sum"))
-    leaves = messages.join(edges.select("conv", F.col("up").alias("id")).distinct(), ["conv", "id"], "left_anti")
+    inner = edges.select(F.col("conv").alias("c"), F.col("up").alias("u")).distinct()
+    leaves = messages.join(inner, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("u")), "left_anti")
     tables = list(_rounds(edges))
     best = _best(leaves.select("conv", "id"), tables, linked, per_conversation)
     path = best.select("conv", "leaf", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("above"))
     for k, jumps in enumerate(tables):
         step = jumps.select(F.col("conv").alias("c"), F.col("id").alias("i"), "up")
-        more = path.join(step, (F.col("conv") == F.col("c")) & (F.col("at") == F.col("i"))).select("conv", "leaf", F.col("up").alias("at"), (F.col("above") + (1 << k)).alias("above"))
+        more = path.join(step, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i"))).select("conv", "leaf", F.col("up").alias("at"), (F.col("above") + (1 << k)).alias("above"))
         path = cut(path.union(more), "paths").df
     text = messages.select(F.col("conv").alias("c"), F.col("id").alias("i"), "role", "text")
-    return path.join(text, (F.col("conv") == F.col("c")) & (F.col("at") == F.col("i"))).select("conv", "leaf", (-F.col("above")).alias("place"), F.col("at").alias("id"), "role", "text")
+    return path.join(text, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i"))).select("conv", "leaf", (-F.col("above")).alias("place"), F.col("at").alias("id"), "role", "text")
 
 
 def _best(leaves: DataFrame, tables: list[DataFrame], linked: DataFrame, most: int) -> DataFrame:
@@ -126,7 +128,7 @@ def _best(leaves: DataFrame, tables: list[DataFrame], linked: DataFrame, most: i
     at = leaves.select("conv", F.col("id").alias("leaf"), F.col("id").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
     for jumps in reversed(tables):
         step = jumps.select(F.col("conv").alias("c"), F.col("id").alias("i"), "up", F.col("n").alias("dn"), F.col("sum").alias("ds"))
-        at = at.join(step, (F.col("conv") == F.col("c")) & (F.col("at") == F.col("i")), "left").select(
+        at = at.join(step, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i")), "left").select(
             "conv",
             "leaf",
             F.coalesce("up", "at").alias("at"),
@@ -134,7 +136,7 @@ def _best(leaves: DataFrame, tables: list[DataFrame], linked: DataFrame, most: i
             (F.col("sum") + F.coalesce("ds", F.lit(0.0))).alias("sum"),
         )
     roots = linked.where("parent is null").select(F.col("conv").alias("c"), F.col("id").alias("i"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own"))
-    ranked = at.join(roots, (F.col("conv") == F.col("c")) & (F.col("at") == F.col("i"))).withColumn("mean", (F.col("sum") + F.col("own")) / (F.col("n") + 1))
+    ranked = at.join(roots, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i"))).withColumn("mean", (F.col("sum") + F.col("own")) / (F.col("n") + 1))
     order = Window.partitionBy("conv").orderBy(F.col("mean").desc(), "leaf")
     return cut(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("conv", "leaf"), "best").df
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,9 +55,10 @@ def test_best_branches_against_brute_force(spark, most):
 
 
 def test_conversations(spark):
-    turns = [(1, 0, "user", None), (1, 1, "assistant", "hi"), (1, 1, "assistant", "hi"), (2, None, None, "x"), (None, 0, "user", "lost")]
+    turns = [(1, 0, "user", None), (1, 1, "assistant", "hi"), (1, 1, "assistant", "hi"), (2, None, None, "x"), (None, 0, "user", "lost"), (None, 1, "assistant", "found")]
     table = cut(linear_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), "messages").df
     got = {r["conv"]: r for r in digests(format_paths(chosen_paths(table))).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 4 and got[2]["n_turns"] == 1
+    assert got[None]["n_turns"] == 2 and got[None]["turns_sha256"] == hashlib.sha256(b"user\nlost\nassistant\nfound\n").hexdigest()
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert digests(format_paths(chosen_paths(cut(linear_messages(empty), "messages").df))).count() == 0
