@@ -7,8 +7,9 @@ the largest with the largest that still fits, two to a sequence at most; the
 rest go, largest first, each into the smallest gap that holds it. The plan is a
 list of runs: so many pieces of one length, from such a rank on, go to such
 sequences at such an offset. Every piece then finds its run by its length and its
-rank among the pieces of that length; ranks are made in hashed groups with
-group offsets, so a length that very many pieces share is no hot task.
+rank among the pieces of that length; ranks are made in hashed groups of about
+``GROUP_ROWS`` with group offsets, so a length that very many pieces share is no hot
+task.
 
 Only documents longer than the capacity are cut, so that all pieces but perhaps
 the first are full. Defined cases: a null or empty text is the end id alone;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import encode_documents
 
-RANK_GROUPS = 256
+GROUP_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,7 @@ def pieces(
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def ranked(items: DataFrame, order: list[str], groups: int = RANK_GROUPS) -> DataFrame:
+def ranked(items: DataFrame, order: list[str], groups: int) -> DataFrame:
     """``items`` with __rank, from 0 for each length: place in a hashed group plus the groups before."""
     items = items.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,13 +138,14 @@ def ranked(items: DataFrame, order: list[str], groups: int = RANK_GROUPS) -> Dat
     )
 
 
-def pack(items: DataFrame, capacity: int, order: list[str], groups: int = RANK_GROUPS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """``items``, which has a long column length of 1 to ``capacity``, with sequence_id and offset.
 
     ``items`` is read twice and should be a table; ``order`` names columns that
     tell its rows apart.
     """
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    groups = max(1, max(histogram.values(), default=0) // GROUP_ROWS)
     runs = sorted(plan(histogram, capacity), key=lambda r: (r.length, r.rank))
     fields = {k: np.array([getattr(r, k) for r in runs], dtype=np.int64) for k in ("length", "rank", "sequence", "each", "offset")}
     columns = [x for x in items.columns if x != "length"]
