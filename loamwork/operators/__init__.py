@@ -1,8 +1,12 @@
 """Relational operators that Spark has no method for, composed of those it has."""
 
 from .asof import asof_join
+from .hints import join_by
+from .percentiles import exact_percentile
 from .ranges import range_join
+from .ranks import global_rank
 from .sessions import sessionize
+from .theta import theta_join
 from .topk import top_k_per_group
 
-__all__ = ["asof_join", "range_join", "sessionize", "top_k_per_group"]
+__all__ = ["asof_join", "exact_percentile", "global_rank", "join_by", "range_join", "sessionize", "theta_join", "top_k_per_group"]

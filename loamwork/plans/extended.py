@@ -5,21 +5,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.python import SplitParts, rounded_to, spread
+from ..functions.python import Tiles, luhn_digit, smoothed
+from ..operators import global_rank, join_by, theta_join
 from ..sources import read_table, register_views
 from ..streaming import windowed_totals
 from .relational import query, spark_sql
 
 
 @query("""
-    SELECT a.n_nationkey AS nation, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name
+    SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_acctbal > 4000 + 200.0 * n_nationkey AND s_name < n_name || 'z' OR n_name < s_name AND s_acctbal < 100.0 * n_nationkey
 """)
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = (F.col("s_acctbal") > 4000 + 200.0 * F.col("n_nationkey")) & (F.col("s_name") < F.concat("n_name", F.lit("z")))
+    poor = (F.col("n_name") < F.col("s_name")) & (F.col("s_acctbal") < 100.0 * F.col("n_nationkey"))
+    return theta_join(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"), rich | poor).select("s_suppkey", "n_name")
+
+
+@query("SELECT s_suppkey, r_name FROM supplier CROSS JOIN region")
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return theta_join(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "region"), None).select("s_suppkey", "r_name")
+
+
+@query("""
+    SELECT a.n_nationkey AS nation, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name
+""")
+def join_equi_and_less(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("r1"), F.col("n_name").alias("m1"))
     b = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("r2"), F.col("n_name").alias("m2"))
     return a.join(b, (F.col("r1") == F.col("r2")) & (F.col("m1") < F.col("m2"))).select("nation", "other")
 
 
+def _hinted(strategy: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        buyers = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
+        orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_totalprice")
+        return join_by(orders, buyers, ["custkey"], strategy).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    run.__name__ = f"join_by_{strategy}"
+    query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")(run)
+
+
+for _strategy in ("broadcast", "hash", "merge"):
+    _hinted(_strategy)
+
+
+@query("""
+    SELECT l_returnflag, true AS distinct_near, true AS median_near, true AS sketch_near FROM lineitem GROUP BY l_returnflag
+""")
+def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether approximate results are within 5 % of the exact ones: distinct parts, the median's rank, and a sketch merged from parts."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    exact = lines.select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("d"))
+    rough = lines.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("m"), F.count(F.lit(1)).alias("n")
+    )
+    parts = lines.groupBy("l_returnflag", "l_linestatus").agg(F.hll_sketch_agg("l_partkey", F.lit(12)).alias("s"))
+    merged = parts.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("h"))
+    below = lines.join(F.broadcast(rough.select("l_returnflag", "m")), "l_returnflag").groupBy("l_returnflag").agg(F.count_if(F.col("l_extendedprice") <= F.col("m")).alias("below"))
+    near = lambda x, y: F.abs(x - y) <= 0.05 * y
+    return rough.join(exact, "l_returnflag").join(merged, "l_returnflag").join(below, "l_returnflag").select(
+        "l_returnflag",
+        near(F.col("a"), F.col("d")).alias("distinct_near"),
+        near(F.col("below") * 2, F.col("n")).alias("median_near"),
+        near(F.col("h"), F.col("d")).alias("sketch_near"),
+    )
+
+
+@query("""
+    SELECT n_regionkey, mode(n_nationkey % 2) AS most_often, round(var_pop(n_nationkey), 6) AS variance, round(stddev_pop(n_nationkey), 6) AS deviation,
+           round(covar_pop(n_nationkey, n_regionkey), 6) AS together, min_by(n_name, n_nationkey) AS first_name, bool_or(n_nationkey = 7) AS has_seven,
+           bit_xor(n_nationkey)::BIGINT AS bits
+    FROM nation WHERE n_nationkey % 5 <> 4 GROUP BY n_regionkey
+""")
+def more_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return read_table(spark, sf_dir, "nation").where(key % 5 != 4).groupBy("n_regionkey").agg(
+        F.mode(key % 2).alias("most_often"),
+        F.round(F.var_pop(key), 6).alias("variance"),
+        F.round(F.stddev_pop(key), 6).alias("deviation"),
+        F.round(F.covar_pop(key, F.col("n_regionkey")), 6).alias("together"),
+        F.min_by("n_name", key).alias("first_name"),
+        F.bool_or(key == 7).alias("has_seven"),
+        F.bit_xor(key).cast("long").alias("bits"),
+    )
+
+
 @query("""
     SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations, min(n_nationkey) AS least, max_by(n_name, n_nationkey) AS last_nation,
            bool_and(n_nationkey >= 0) AS all_positive, count(*) AS n
@@ -90,31 +160,65 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_totals(read_table(spark, sf_dir, "events"), "12 hours", "6 hours")
 
 
-@query("SELECT p_partkey, floor(p_retailprice / 50) * 50 AS band FROM part")
+@query("""
+    SELECT p_partkey, ((10 - list_sum(list_transform(range(len(p_partkey::VARCHAR)), lambda i:
+        CASE WHEN i % 2 = 1 THEN reverse(p_partkey::VARCHAR)[i + 1]::BIGINT
+             ELSE (2 * reverse(p_partkey::VARCHAR)[i + 1]::BIGINT) // 10 + (2 * reverse(p_partkey::VARCHAR)[i + 1]::BIGINT) % 10 END))::BIGINT % 10) % 10)::BIGINT AS digit
+    FROM part
+""")
 def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").select("p_partkey", rounded_to("p_retailprice", F.lit(50.0)).alias("band"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", luhn_digit("p_partkey").alias("digit"))
 
 
-@query("SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 6) AS spread FROM part GROUP BY p_brand")
+@query("""
+    WITH RECURSIVE ranked AS (SELECT n_regionkey, n_nationkey::DOUBLE AS x, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+    steps AS (
+        SELECT n_regionkey, i, x AS level FROM ranked WHERE i = 1
+        UNION ALL SELECT r.n_regionkey, r.i, 0.3 * r.x + 0.7 * s.level FROM ranked r JOIN steps s ON r.n_regionkey = s.n_regionkey AND r.i = s.i + 1
+    )
+    SELECT n_regionkey, round(arg_max(level, i)::DOUBLE, 6) AS level FROM steps GROUP BY n_regionkey
+""")
 def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(spread("p_retailprice"), 6).alias("spread"))
+    return smoothed(read_table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_nationkey", 0.3).select("n_regionkey", F.round("level", 6).alias("level"))
 
 
 @query("""
-    SELECT part, place::INT AS place, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS part, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS place FROM part)
-    WHERE part <> '' GROUP BY ALL
+    SELECT tile, count(*) AS n FROM (SELECT unnest(range((s_suppkey % 7)::BIGINT, 20, 5)) AS tile FROM supplier) GROUP BY tile
 """)
 def python_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, ("part",))
-    spark.udtf.register("split_parts", SplitParts)
-    return spark.sql("SELECT s.part, s.place, count(*) AS n FROM part, LATERAL split_parts(p_type, ' ') s GROUP BY s.part, s.place")
+    register_views(spark, sf_dir, ("supplier",))
+    spark.udtf.register("tiles", Tiles)
+    return spark.sql("SELECT t.tile, count(*) AS n FROM supplier, LATERAL tiles(s_suppkey % 7, 20, 5) t GROUP BY t.tile")
 
 
-spark_sql(
-    "nulls_in_order",
-    ("customer", "orders"),
-    """
+@query("""
     SELECT c_custkey, dearest, rank() OVER (ORDER BY dearest DESC NULLS LAST) AS place FROM customer
     LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS dearest FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey) ON c_custkey = o_custkey
-    """.replace("rank()", "CAST(rank()").replace("NULLS LAST) AS place", "NULLS LAST) AS BIGINT) AS place"),
-)
+""")
+def nulls_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").where("o_totalprice > 450000").groupBy("o_custkey").agg(F.max("o_totalprice").alias("dearest"))
+    buyers = read_table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "dearest")
+    return global_rank(buyers, "dearest", "place")
+
+
+@query(r"""
+    WITH grams AS (
+        SELECT doc_id, words[i] || ' ' || words[i + 1] AS gram FROM (
+            SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents))
+    )
+    SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY gram ORDER BY n DESC, gram LIMIT 50
+""")
+def top_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: pairs of neighbouring words over whole texts, counted per document first."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    split = read_table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    n = F.size("words")
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    each = split.where(n > 1).select("doc_id", F.explode(pairs).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).orderBy(F.col("n").desc(), "gram").limit(50)
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest, sha256(coalesce(text, '')) AS sha FROM documents")
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("digest"), F.sha2(text, 256).alias("sha"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import concat_skipping_nulls, cosine, day_of_week, divide_or_null, sample_skewness
-from ..operators import asof_join, range_join, sessionize, top_k_per_group
+from ..functions import concat_skipping_nulls, cosine, day_of_week, divide_or_null, sample_skewness, substring_from
+from ..operators import asof_join, exact_percentile, range_join, sessionize, top_k_per_group
 from ..sources import read_table, register_views
 from ..streaming import session_totals, windowed_totals
 
@@ -119,7 +119,7 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
     views = events.where("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("seen_at"))
-    return asof_join(views, events.where("event_type = 'purchase'"), ["user_id"], "seen_at", "ts", ["value"], strict=True)
+    return asof_join(views, events.where("event_type = 'purchase'"), ["user_id"], "seen_at", "ts", ["value"], strict=True, every=10 * 86400)
 
 
 @query("""
@@ -167,14 +167,16 @@ _grouping("group_sets", "GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
     FROM lineitem GROUP BY l_suppkey
 """)
 def group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.countDistinct("l_partkey").alias("parts"),
+    lines = read_table(spark, sf_dir, "lineitem")
+    parts = lines.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("l_partkey").alias("parts"))
+    median = exact_percentile(lines, ["l_suppkey"], "l_extendedprice", 0.5, "median").withColumn("median", F.round("median", 4))
+    sums = lines.groupBy("l_suppkey").agg(
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         F.round(F.stddev_samp("l_quantity"), 6).alias("spread"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"),
-        F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median"),
         F.round(sample_skewness(F.col("l_quantity")), 6).alias("skew"),
     )
+    return sums.join(parts, "l_suppkey").join(median, "l_suppkey", "left")
 
 
 @query("""
@@ -189,6 +191,8 @@ def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER t AS quarter,
            lag(o_totalprice) OVER t AS before, lead(o_totalprice) OVER t AS after,
+           round(percent_rank() OVER w, 9) AS share, round(cume_dist() OVER w, 9) AS reached,
+           first_value(o_orderkey) OVER t AS first_order, last_value(o_orderkey) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_order,
            round(sum(o_totalprice) OVER (t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three,
            round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW), 4) AS in_90_days
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority), t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
@@ -204,12 +208,16 @@ def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.ntile(4).over(t).cast("long").alias("quarter"),
         F.lag("o_totalprice").over(t).alias("before"),
         F.lead("o_totalprice").over(t).alias("after"),
+        F.round(F.percent_rank().over(w), 9).alias("share"),
+        F.round(F.cume_dist().over(w), 9).alias("reached"),
+        F.first_value("o_orderkey").over(t).alias("first_order"),
+        F.last_value("o_orderkey").over(t.rowsBetween(0, Window.unboundedFollowing)).alias("last_order"),
         F.round(F.sum("o_totalprice").over(t.rowsBetween(-2, 0)), 2).alias("last_three"),
         F.round(near, 4).alias("in_90_days"),
     )
 
 
-for _name, _op in (("union_distinct", "UNION"), ("union_all", "UNION ALL"), ("intersect_all", "INTERSECT ALL"), ("except_all", "EXCEPT ALL")):
+for _name, _op in (("union_distinct", "UNION"), ("union_all", "UNION ALL"), ("intersect_all", "INTERSECT ALL"), ("except_all", "EXCEPT ALL"), ("intersect_distinct", "INTERSECT"), ("except_distinct", "EXCEPT")):
     spark_sql(_name, ("customer", "supplier"), f"SELECT c_nationkey AS nation FROM customer {_op} SELECT s_nationkey FROM supplier")
 
 spark_sql(
@@ -245,7 +253,10 @@ spark_sql(
 @query(r"""
     SELECT p_partkey, upper(p_name) AS up, length(p_name) AS len, reverse(p_brand) AS rev, split_part(p_type, ' ', 1) AS kind,
            regexp_replace(p_name, '[aeiou]', '_', 'g') AS masked, lpad(p_brand, 12, '*') AS padded, concat(p_brand, NULL, '-', p_size) AS tag,
-           levenshtein(p_name, p_type) AS distance, p_size / nullif(p_size % 3, 0) AS ratio
+           levenshtein(p_name, p_type) AS distance, p_size / nullif(p_size % 3, 0) AS ratio,
+           lower(p_type) AS low, replace(p_name, 'a', 'AA') AS replaced, trim('  ' || p_brand || ' ') AS trimmed, instr(p_name, 'e') AS e_at,
+           substring(p_name, 2, 3) AS middle, CASE WHEN p_size % 2 = 0 THEN substring(p_name, 0, 3) ELSE substring(p_name, -3, 2) END AS edge,
+           starts_with(p_type, 'S') AS with_s, contains(p_name, 'o') AS with_o, repeat(left(p_brand, 1), 3) AS thrice, ascii(p_brand) AS code
     FROM part
 """)
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,16 +271,28 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         concat_skipping_nulls(F.col("p_brand"), F.lit(None), F.lit("-"), F.col("p_size")).alias("tag"),
         F.levenshtein("p_name", "p_type").cast("long").alias("distance"),
         divide_or_null(F.col("p_size"), F.col("p_size") % 3).alias("ratio"),
+        F.lower("p_type").alias("low"),
+        F.replace("p_name", F.lit("a"), F.lit("AA")).alias("replaced"),
+        F.trim(F.concat(F.lit("  "), "p_brand", F.lit(" "))).alias("trimmed"),
+        F.instr("p_name", "e").cast("long").alias("e_at"),
+        F.substring("p_name", 2, 3).alias("middle"),
+        F.when(F.col("p_size") % 2 == 0, substring_from(F.col("p_name"), 0, 3)).otherwise(substring_from(F.col("p_name"), -3, 2)).alias("edge"),
+        F.startswith("p_type", F.lit("S")).alias("with_s"),
+        F.contains("p_name", F.lit("o")).alias("with_o"),
+        F.repeat(F.left("p_brand", F.lit(1)), 3).alias("thrice"),
+        F.ascii("p_brand").alias("code"),
     )
 
 
 @query("""
-    SELECT date_trunc('month', ts) AS month, dayofweek(ts) AS dow, count(*) AS n, round(avg(json_extract_string(props, '$.k')::DOUBLE), 6) AS mean_k
+    SELECT date_trunc('month', ts) AS month, dayofweek(ts) AS dow, hour(ts) AS hour, week(ts) AS week, date_diff('day', DATE '2024-01-01', ts::DATE) AS days,
+           last_day(ts) AS month_end, count(*) AS n, round(avg(json_extract_string(props, '$.k')::DOUBLE), 6) AS mean_k
     FROM events GROUP BY ALL
 """)
 def dates_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
-    by = [F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), day_of_week(F.col("ts")).alias("dow")]
+    by = [F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), day_of_week(F.col("ts")).alias("dow"), F.hour("ts").cast("long").alias("hour")]
+    by += [F.weekofyear("ts").cast("long").alias("week"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("days"), F.last_day("ts").alias("month_end")]
     k = F.get_json_object("props", "$.k").cast("double")
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(k), 6).alias("mean_k"))
 
@@ -308,4 +331,4 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOURS THEN 1 ELSE 0 END AS opens FROM events)
 """)
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessionize(read_table(spark, sf_dir, "events"), ["user_id"], "ts", 12 * 3600, tie=["event_id"]).select("event_id", "session_no")
+    return sessionize(read_table(spark, sf_dir, "events"), ["user_id"], "ts", 12 * 3600, tie=["event_id"], every=10 * 86400).select("event_id", "session_no")
