@@ -148,6 +148,22 @@ def test_all_of_500_planted_pairs_are_found(make):
     assert kept == {d for d, _ in rows if d % 2 == 0}
 
 
+def test_parity_bounds_the_difference(make):
+    rows, r = [], random.Random(4)
+    for k, n in enumerate([0, 3, 200, 270, 500, 640, 1500, 4000]):
+        base = words(300 + k, n, size=100_000)
+        rows += [(10 * k + i, " ".join(w if r.random() > i / 40 else "new%d" % r.randrange(10**6) for w in base)) for i in range(5)]
+    docs = make(rows).select("doc_id", "text")
+    found = {x["doc_id"]: x for x in near_text.fingerprints(docs, 5).collect()}
+    sets = {x["doc_id"]: set(x["shingles"]) for x in near_text.shingle_sets(docs, 5).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (0.8 <= len(sets[a]) / max(len(sets[b]), 1) <= 1.25 or not sets[a] and not sets[b])]
+    left = near_text._tried_whole(near_text._tried(make([]).sparkSession.createDataFrame(pairs, "a long, b long"), near_text.fingerprints(docs, 5), 0.8), near_text.fingerprints(docs, 5), 0.8)
+    left = {tuple(x) for x in left.collect()}
+    alike = {p for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert alike <= left and all(jaccard(sets[a], sets[b]) > 0.6 for a, b in left)
+    assert {len(found[d]["whole"] or []) for d in sets} >= {0, 16, 32}
+
+
 def test_common_lines_are_last_in_prefixes(make, monkeypatch):
     line = words(1, 40, size=5000)
     docs = make([(i, " ".join(words(100 + i, 200, size=5000) + line)) for i in range(50)]).select("doc_id", "text")
