@@ -1,6 +1,6 @@
 """Where tables come from and go to."""
 
-from .files import FORMATS, read_files, write_files
+from .files import FORMATS, read_binary, read_files, read_lines, write_files, write_lines
 from .tables import TABLES, read_table, register_views
 
-__all__ = ["FORMATS", "TABLES", "read_files", "read_table", "register_views", "write_files"]
+__all__ = ["FORMATS", "TABLES", "read_binary", "read_files", "read_lines", "read_table", "register_views", "write_files", "write_lines"]

@@ -1,6 +1,6 @@
 """Streaming forms of windowed aggregates, and totals kept in state."""
 
-from .state import first_of_each, running_totals
-from .windows import events_stream, session_totals, windowed_totals
+from .state import first_of_each, longest_gaps, running_totals, smoothed_levels
+from .windows import events_stream, rate_stream, session_totals, windowed_totals
 
-__all__ = ["events_stream", "first_of_each", "running_totals", "session_totals", "windowed_totals"]
+__all__ = ["events_stream", "first_of_each", "longest_gaps", "rate_stream", "running_totals", "session_totals", "smoothed_levels", "windowed_totals"]

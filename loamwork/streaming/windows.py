@@ -11,6 +11,15 @@ def events_stream(spark: SparkSession, path: str, schema, late: str = "10 minute
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def rate_stream(spark: SparkSession, rows_per_second: int, users: int = 100) -> DataFrame:
+    """Made-up events at a steady rate, to try a stream with."""
+    made = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    kinds = F.array(*map(F.lit, ("click", "view", "purchase")))
+    return made.select(
+        F.col("value").alias("event_id"), F.col("timestamp").alias("ts"), (F.col("value") % users).alias("user_id"), F.element_at(kinds, (F.col("value") % 3 + 1).cast("int")).alias("event_type"), F.lit(1.0).alias("value")
+    ).withWatermark("ts", "10 minutes")
+
+
 def windowed_totals(events: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     """Events and their value by window and type."""
     window = F.window(F.col("ts").cast("timestamp") if not events.isStreaming else F.col("ts"), length, slide or length)

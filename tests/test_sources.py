@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.sources import FORMATS, read_files, read_table, write_files
+from loamwork.sources import FORMATS, read_binary, read_files, read_lines, read_table, write_files, write_lines
 
 
 @pytest.mark.parametrize("kind", sorted(FORMATS))
@@ -18,3 +18,13 @@ def test_folders_of_other_values_are_skipped(spark, sf_dir, tmp_path):
     one = spark.read.parquet(str(tmp_path / "t")).where("c_mktsegment = 'BUILDING'")
     assert one.count() == table.where("c_mktsegment = 'BUILDING'").count()
     assert len(one.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(c_mktsegment" in one._jdf.queryExecution().toString()
+
+
+def test_lines_and_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([("b é",), ("a",), ("",)], "t string").coalesce(1)
+    write_lines(rows, str(tmp_path / "lines"), "t")
+    back = read_lines(spark, str(tmp_path / "lines"))
+    assert sorted(r["value"] for r in back.collect()) == ["", "a", "b é"]
+    assert [r["value"] for r in read_lines(spark, str(tmp_path / "lines"), whole=True).collect()] == ["b é\na\n\n"]
+    found = read_binary(spark, str(tmp_path / "lines"), "*.txt").collect()
+    assert [bytes(r["content"]) for r in found] == ["b é\na\n\n".encode()] and found[0]["length"] == 8
