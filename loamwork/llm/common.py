@@ -17,6 +17,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Ids that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 19
 
+#: Rows of an Arrow batch where the session has Spark's own 10,000, which is much memory if texts are long.
+BATCH_ROWS = 1_000
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,7 +29,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of BATCH_ROWS rows, unless the session has set its own number."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -64,6 +75,7 @@ def cut(df: DataFrame, tag: str) -> Cut:
     and the shuffle files behind the table are released at once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, tag)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
