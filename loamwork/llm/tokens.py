@@ -13,6 +13,7 @@ the ``KEPT_WORDS`` most used. No text or word is cut.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain, filterfalse, repeat
@@ -24,6 +25,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .wordhash import Chunk, chunks, joined, mix
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and threads keep memory of their own
+
 MOST_WORDS = 600_000
 KEPT_WORDS = 300_000
 GROUP = 100
