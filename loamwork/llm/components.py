@@ -4,6 +4,10 @@ Each round points every node at the smallest node it knows of, first from the
 larger side and then from the smaller. Links never multiply, the smallest
 neighbour is a partial aggregate, and the join that spreads it is one that
 Spark's skew join can split, so a hub with very many links is no hot task.
+
+Defined cases: a link with a null end, and one from a node to itself, is none;
+repeated links, and links told from either side, count once; nodes are of any type
+that has an order; without links the result is empty.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ def _unfinished(links: DataFrame) -> bool:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) for every node that has a link."""
-    now = cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "links")
+    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    now = cut(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "links")
     while _unfinished(now.df):
         after = cut(_stars(now.df), "links")
         now.drop()

@@ -110,4 +110,4 @@ def mix(
     sizes = docs.select(F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     targets = cut(source_targets(sizes, weights, most), "targets").df
     taken = with_rates(docs, targets, source_col).withColumn("__copies", _copies(id_col, seed)).where("__copies > 0")
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")

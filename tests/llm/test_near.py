@@ -32,6 +32,8 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = spark.createDataFrame([("x", "y"), ("y", "x"), ("y", "y"), (None, "z"), ("z", None), ("y", "b")], "a string, b string")
+    assert {tuple(r) for r in components(odd).collect()} == {("x", "b"), ("y", "b"), ("b", "b")}
 
 
 def test_thresholds():
