@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.sources import FORMATS, read_binary, read_files, read_lines, read_table, write_files, write_lines
+from loamwork.sources import FORMATS, kafka_stream, read_avro, read_binary, read_files, read_lines, read_table, write_avro, write_files, write_lines
 
 
 @pytest.mark.parametrize("kind", sorted(FORMATS))
@@ -28,3 +28,11 @@ def test_lines_and_bytes(spark, tmp_path):
     assert [r["value"] for r in read_lines(spark, str(tmp_path / "lines"), whole=True).collect()] == ["b é\na\n\n"]
     found = read_binary(spark, str(tmp_path / "lines"), "*.txt").collect()
     assert [bytes(r["content"]) for r in found] == ["b é\na\n\n".encode()] and found[0]["length"] == 8
+
+
+def test_missing_connectors_are_named(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    for attempt in (lambda: kafka_stream(spark, "none:9092", "t"), lambda: read_avro(spark, str(tmp_path)), lambda: write_avro(spark.range(1), str(tmp_path / "a"))):
+        with pytest.raises(AnalysisException, match="kafka|avro|Kafka|Avro"):
+            attempt()
