@@ -40,13 +40,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
 
 
-def duplicate_classes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """class_hash, class_sha256, group_size and keep_id of each class of equal texts whose hash more than one row of ``prints`` has.
+def ids_met_twice(prints: DataFrame) -> DataFrame:
+    """doc_id of all rows of ``prints`` whose hash another row has as well."""
+    often = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    return prints.join(often, "hash", "left_semi").select("doc_id").distinct()
+
+
+def duplicate_classes(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """class_hash, class_sha256, group_size and keep_id of each class of equal texts among the rows with these ids, a table.
 
     Two texts that share the hash but differ in a byte are two classes here.
     """
-    often = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    ids = cut(prints.join(often, "hash", "left_semi").select("doc_id").distinct(), "ids").df
     text = text_or_empty(text_col)
     members = joined_by_id(docs, ids, id_col, "left_semi").select(
         normalised(text_col).alias("norm"), F.struct((-F.length(text)).alias("length"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id")).alias("rank")
@@ -66,7 +70,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Spark's skew join splits; a row without a class is alone.
     """
     rows = cut(fingerprints(docs, id_col, text_col), "hashes").df
-    classes = cut(duplicate_classes(docs, rows, id_col, text_col), "classes").df
+    ids = cut(ids_met_twice(rows), "ids")
+    classes = cut(duplicate_classes(docs, ids.df, id_col, text_col), "classes").df
+    ids.drop()
     found = rows.join(classes, (F.col("hash") == F.col("class_hash")) & (F.col("text_sha256") == F.col("class_sha256")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
