@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Cut, cut
 
 #: Opening and closing mark of each role (fixed values of the template).
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -92,7 +92,7 @@ def _rounds(jumps: DataFrame):
     count = table.df.count()
     most = count.bit_length() + 1  # a path is no longer than there are jumps; what goes on is a cycle
     while count and most:
-        yield table.df
+        yield table
         further = table.df.alias("a").join(table.df.alias("b"), (F.col("a.conv").eqNullSafe(F.col("b.conv"))) & (F.col("a.up") == F.col("b.id")))
         columns = [F.col("a.conv").alias("conv"), F.col("a.id").alias("id"), F.col("b.up").alias("up")]
         columns += [(F.col(f"a.{x}") + F.col(f"b.{x}")).alias(x) for x in jumps.columns[3:]]
@@ -113,12 +113,18 @@ def chosen_paths(messages: DataFrame, per_conversation: int = 1) -> DataFrame:
     inner = edges.select(F.col("conv").alias("c"), F.col("up").alias("u")).distinct()
     leaves = messages.join(inner, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("u")), "left_anti")
     tables = list(_rounds(edges))
-    best = _best(leaves.select("conv", "id"), tables, linked, per_conversation)
+    best = _best(leaves.select("conv", "id"), [t.df for t in tables], linked, per_conversation)
     path = best.select("conv", "leaf", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("above"))
+    so_far: Cut | None = None
     for k, jumps in enumerate(tables):
-        step = jumps.select(F.col("conv").alias("c"), F.col("id").alias("i"), "up")
+        step = jumps.df.select(F.col("conv").alias("c"), F.col("id").alias("i"), "up")
         more = path.join(step, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i"))).select("conv", "leaf", F.col("up").alias("at"), (F.col("above") + (1 << k)).alias("above"))
-        path = cut(path.union(more), "paths").df
+        longer = cut(path.union(more), "paths")
+        if so_far:
+            so_far.drop()
+        so_far, path = longer, longer.df
+    for table in tables:
+        table.drop()
     text = messages.select(F.col("conv").alias("c"), F.col("id").alias("i"), "role", "text")
     return path.join(text, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("at") == F.col("i"))).select("conv", "leaf", (-F.col("above")).alias("place"), F.col("at").alias("id"), "role", "text")
 
