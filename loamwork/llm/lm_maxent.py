@@ -64,7 +64,7 @@ TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1280, 1 << 14, 1 << 16
 CONTEXT = 3
 ROUNDS = 3
 MINIBATCH = 16384
-RATE = 0.25
+RATE = 0.15
 TASKS_A_CORE = 2
 #: Sums of weights beyond it count as so much, and the share that stands for none.
 MOST_SUM, NEVER = np.float32(80), 1e-38
