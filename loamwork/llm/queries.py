@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_maxent, token_blocks
+from . import hard_negatives, language_id, lm_maxent, token_blocks
 from .chat_trees import chosen_paths, digests, format_paths, linear_messages
-from .common import cut, documents, new_path
+from .collocations import collocations
+from .common import cut, documents, new_path, small_batches
 from .exact_dedup import mark_duplicates
 from .mixing import mixed_copies, n_words
 from .packing import pack_documents
+from .page_text import main_text
 from .quality_llr import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -77,6 +79,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -88,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_trees": op9_chat_trees,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -178,4 +198,57 @@ ORACLE_SQL: dict[str, str] = {
                    < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM sizes JOIN rates ON sizes.source IS NOT DISTINCT FROM rates.source
     """,
+    "op11_hard_negatives": r"""
+        WITH good AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)
+        ), places AS (
+            SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces WHERE len(words) > 0
+        ), sized AS (
+            SELECT lang, words, i, unnest([1, 2, 3, 4]) AS size FROM places
+        ), f AS (
+            SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, size, count(*) AS n FROM sized WHERE i + size - 1 <= len(words) GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+        ), kept AS (
+            SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS words FROM f WHERE n >= 30
+        ), cuts AS (
+            SELECT lang, phrase, size, a, words, unnest(range(1, size)) AS k FROM kept WHERE size > 1
+        ), scores AS (
+            SELECT c.lang, c.phrase, c.size, c.a, c.words, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+            FROM cuts c JOIN kept x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+            JOIN kept y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+        ), inner_parts AS (
+            SELECT DISTINCT s.lang, array_to_string(words[b:b + z - 1], ' ') AS phrase, s.a AS longer
+            FROM scores s, (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) t(b, z) WHERE z < s.size AND b + z - 1 <= s.size
+        ), left_out AS (
+            SELECT DISTINCT s.lang, s.phrase FROM scores s JOIN inner_parts p ON s.lang = p.lang AND s.phrase = p.phrase WHERE 100 * p.longer >= 80 * s.a
+        )
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank, s.phrase, a, l, r, t.n, score
+        FROM scores s JOIN totals t ON s.lang = t.lang LEFT JOIN left_out o ON o.lang = s.lang AND o.phrase = s.phrase
+        WHERE o.phrase IS NULL QUALIFY rank <= 2000
+    """,
 }
