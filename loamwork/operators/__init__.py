@@ -2,11 +2,18 @@
 
 from .asof import asof_join
 from .hints import join_by
-from .percentiles import exact_percentile
+from .inequalities import Inequality, inequality_join
+from .membership import not_in
+from .ordered import ranks_in_order, row_numbers, running_totals_in_order
+from .percentiles import exact_percentile, exact_percentiles
 from .ranges import range_join
 from .ranks import global_rank
 from .sessions import sessionize
 from .theta import theta_join
 from .topk import top_k_per_group
+from .vectors import exact_nearest, nearest_join
 
-__all__ = ["asof_join", "exact_percentile", "global_rank", "join_by", "range_join", "sessionize", "theta_join", "top_k_per_group"]
+__all__ = [
+    "Inequality", "asof_join", "exact_nearest", "exact_percentile", "exact_percentiles", "global_rank", "inequality_join", "join_by", "nearest_join", "not_in", "range_join",
+    "ranks_in_order", "row_numbers", "running_totals_in_order", "sessionize", "theta_join", "top_k_per_group",
+]

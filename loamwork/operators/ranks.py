@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from .ordered import ranks_in_order
 
-def global_rank(df: DataFrame, value: str, name: str, buckets: int = 64) -> DataFrame:
-    """``df`` with the rank of each row by a number, greatest first, nulls last, equal values alike.
 
-    Approximate quantiles cut the values into ``buckets`` ranges; a row's rank is its
-    rank in its range and the rows of the ranges before, of which there is one
-    number each. The cuts decide where work is done, not the result.
-    """
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
-    number = F.col(value).cast("double")
-    bucket = F.when(number.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= number)), F.lit(0)) if cuts else F.lit(0))
-    rows = df.withColumn("__bucket", bucket.cast("int"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row a bucket
-    inside = F.rank().over(Window.partitionBy("__bucket").orderBy(F.col(value).desc_nulls_last()))
-    offsets = F.broadcast(sizes.select(F.col("__bucket").alias("__in"), "__before"))
-    return rows.withColumn("__inside", inside).join(offsets, F.col("__bucket") == F.col("__in")).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of each row by a value, greatest first, nulls last, equal values alike."""
+    return ranks_in_order(df, [(value, "desc_nulls_last")], rank=name)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import concat_skipping_nulls, cosine, day_of_week, divide_or_null, sample_skewness, substring_from
-from ..operators import asof_join, exact_percentile, range_join, sessionize, top_k_per_group
+from ..operators import asof_join, exact_percentile, not_in, range_join, sessionize, top_k_per_group
 from ..sources import read_table, register_views
 from ..streaming import session_totals, windowed_totals
 
@@ -220,14 +220,19 @@ def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name, _op in (("union_distinct", "UNION"), ("union_all", "UNION ALL"), ("intersect_all", "INTERSECT ALL"), ("except_all", "EXCEPT ALL"), ("intersect_distinct", "INTERSECT"), ("except_distinct", "EXCEPT")):
     spark_sql(_name, ("customer", "supplier"), f"SELECT c_nationkey AS nation FROM customer {_op} SELECT s_nationkey FROM supplier")
 
-spark_sql(
-    "subqueries",
-    ("customer", "orders"),
-    """
+@query("""
     SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS dearest FROM customer
     WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 2000)
-    """,
-)
+""")
+def subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, sf_dir, ("customer", "orders"))
+    rich = spark.sql("""
+        SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS dearest FROM customer
+        WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)
+    """)
+    return not_in(rich, "c_custkey", read_table(spark, sf_dir, "orders").where("o_totalprice < 2000"), "o_custkey")
+
+
 spark_sql(
     "lateral_join",
     ("customer", "orders"),
