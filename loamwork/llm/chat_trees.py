@@ -10,7 +10,7 @@ chosen path becomes one conversation.
 The template marks turns as ``[INST] .. [/INST]`` for the user, ``<s> .. </s>`` for
 the assistant, ``<<SYS>> .. <</SYS>>`` for the system, and ``[TURN role] ..
 [/TURN]`` for any other role. Inside texts and roles a backslash is put before
-each backslash and before the bracket of each control string, so control strings
+each backslash and after the bracket of each control string, so control strings
 of the template occur only where the template put them and the text can be read
 back exactly. Loss falls on assistant texts, given as spans of code points.
 
@@ -46,7 +46,7 @@ _TURN = re.compile(
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(r"\\\g<0>", text)
+    return _CONTROL.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:

@@ -66,6 +66,8 @@ ROUNDS = 3
 MINIBATCH = 16384
 RATE = 0.15
 TASKS_A_CORE = 2
+#: Training tokens of one trainer, about: how many there are follows from the data, not from the cores.
+TOKENS_A_TRAINER = 1 << 22
 #: Sums of weights beyond it count as so much, and the share that stands for none.
 MOST_SUM, NEVER = np.float32(80), 1e-38
 #: Rows of a table that travel as one record.
@@ -210,20 +212,40 @@ def tokenised(docs: DataFrame, words: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text", "training").mapInArrow(run, _TOKENS.format(kind=kind))
 
 
+def set_apart(texts: list[bytes], filler: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of some texts, set apart by CONTEXT fillers, and their sizes."""
+    gap = np.full(CONTEXT, filler, dtype=np.int64)
+    return np.concatenate([x for raw in texts for x in (gap, np.frombuffer(raw, dtype="<u2").astype(np.int64))]), np.array([len(raw) // 2 for raw in texts])
+
+
 def token_batches(column: pa.Array, filler: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, token numbers of some texts, and their sizes. Texts are set apart by CONTEXT fillers."""
-    parts: list[np.ndarray] = []
-    sizes: list[int] = []
+    """First row, token numbers of some texts, and their sizes."""
+    held: list[bytes] = []
     first, n = 0, 0
     for row, raw in enumerate(column.to_pylist()):
-        parts += [np.full(CONTEXT, filler, dtype=np.int64), np.frombuffer(raw, dtype="<u2").astype(np.int64)]
-        sizes.append(len(raw) // 2)
+        held.append(raw)
         n += len(raw) // 2
         if n >= most:
-            yield first, np.concatenate(parts), np.array(sizes)
-            parts, sizes, first, n = [], [], row + 1, 0
-    if sizes:
-        yield first, np.concatenate(parts), np.array(sizes)
+            yield first, *set_apart(held, filler)
+            held, first, n = [], row + 1, 0
+    if held:
+        yield first, *set_apart(held, filler)
+
+
+def trainer_batches(batches: Iterator[pa.RecordBatch], filler: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Trainer, token numbers of some of its texts, and their sizes; the same however rows came in batches."""
+    held: list[bytes] = []
+    trainer, n = None, 0
+    for batch in batches:
+        for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (own != trainer or n >= most):
+                yield trainer, *set_apart(held, filler)
+                held, n = [], 0
+            trainer = own
+            held.append(raw)
+            n += len(raw) // 2
+    if held:
+        yield trainer, *set_apart(held, filler)
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
@@ -246,22 +268,24 @@ def blocks_of(table: int, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
 def summed(parts: DataFrame, widths: list[int], dtype: str) -> Iterator[tuple[int, int, np.ndarray]]:
     """Tables added up over all tasks, as table, first row and rows. Blocks of one number meet in one task, which holds no more than its sums."""
 
+    total = "f8" if dtype == "f4" else dtype  # so that the order in which parts come does not show
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for table, row, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = np.frombuffer(raw, dtype=dtype)
+                values = np.frombuffer(raw, dtype=dtype).astype(total)
                 if (table, row) in held:
                     held[table, row] += values
                 else:
-                    held[table, row] = values.copy()
+                    held[table, row] = values
         if held:
             yield _records((t, r, x.tobytes()) for (t, r), x in held.items())
 
     n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sums = cut(parts.repartition(int(n), "table", "row").mapInArrow(run, _BLOCKS), "sums")
     for r in sums.df.toLocalIterator():  # the tables have a fixed size, and come a part at a time
-        yield r["table"], r["row"], np.frombuffer(bytes(r["part"]), dtype=dtype).reshape(-1, widths[r["table"]])
+        yield r["table"], r["row"], np.frombuffer(bytes(r["part"]), dtype=total).reshape(-1, widths[r["table"]])
     sums.drop()
 
 
@@ -437,7 +461,7 @@ def grouped_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, coun
 
 
 class Trainer:
-    """AdaGrad over one task's share of the training texts."""
+    """AdaGrad over one trainer's share of the training texts."""
 
     def __init__(self, model: MaxentModel, rate: float) -> None:
         self.before, self.rate = model.tables, rate
@@ -480,21 +504,35 @@ class Trainer:
             yield from blocks_of(level, np.concatenate([(table - self.before[level]) * seen, seen], axis=1))
 
 
+def for_trainers(tokens: DataFrame, n_tokens: int) -> DataFrame:
+    """trainer and tokens of the training texts, in an order that only the texts and their ids decide."""
+    trainers = max(1, n_tokens // TOKENS_A_TRAINER)
+    place = F.xxhash64("doc_id")
+    dealt = tokens.where("training").select(F.pmod(F.xxhash64(place), F.lit(trainers)).alias("trainer"), place.alias("place"), "doc_id", "tokens")
+    return dealt.repartition("trainer").sortWithinPartitions("trainer", "place", "doc_id", "tokens").select("trainer", "tokens")
+
+
 def train(tokens: DataFrame, model: MaxentModel, rounds: int = ROUNDS, rate: float = RATE) -> MaxentModel:
-    """Gradient rounds over all training texts of ``tokens``. The tables of ``model`` are changed."""
+    """Gradient rounds over all training texts of ``tokens``. The tables of ``model`` are changed.
+
+    A trainer is not a task: a task may have several, one after the other, so neither
+    cores nor partitions change what is learned.
+    """
     for turn in range(rounds):
         shared = tokens.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value, rate / (1 + turn))
-            for batch in batches:
-                for _, t, sizes in token_batches(batch.column(0), shared.value.words.filler):
-                    trainer.train(t, visited(sizes, turn, rounds))
-            rows = list(trainer.changes())
-            if rows:
+            now, trainer = None, None
+            for own, t, sizes in trainer_batches(batches, shared.value.words.filler):
+                if own != now:
+                    if trainer and (rows := list(trainer.changes())):
+                        yield _records(rows)
+                    now, trainer = own, Trainer(shared.value, rate / (1 + turn))
+                trainer.train(t, visited(sizes, turn, rounds))
+            if trainer and (rows := list(trainer.changes())):
                 yield _records(rows)
 
-        for level, row, values in summed(in_few_tasks(tokens).mapInArrow(run, _BLOCKS), [t.shape[1] + 1 for t in model.tables], "f4"):
+        for level, row, values in summed(for_trainers(tokens, model.words.tokens).mapInArrow(run, _BLOCKS), [t.shape[1] + 1 for t in model.tables], "f4"):
             model.tables[level][row : row + len(values)] += values[:, :-1] / np.maximum(values[:, -1:], 1)
         shared.destroy()
     return model

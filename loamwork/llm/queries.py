@@ -150,12 +150,12 @@ ORACLE_SQL: dict[str, str] = {
         ), slashed AS (
             SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS t0 FROM turns
         ), squared AS (
-            SELECT *, replace(replace(replace(replace(t0, '[INST]', '\[INST]'), '[/INST]', '\[/INST]'), '[TURN ', '\[TURN '), '[/TURN]', '\[/TURN]') AS t1
+            SELECT *, replace(replace(replace(replace(t0, '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[TURN ', '[\TURN '), '[/TURN]', '[\/TURN]') AS t1
             FROM slashed
         ), angled AS (
-            SELECT *, replace(replace(replace(replace(t1, '<s>', '\<s>'), '</s>', '\</s>'), '<SYS>>', '\<SYS>>'), '</SYS>>', '\</SYS>>') AS t2 FROM squared
+            SELECT *, replace(replace(replace(replace(t1, '<s>', '<\s>'), '</s>', '<\/s>'), '<SYS>>', '<\SYS>>'), '</SYS>>', '<\/SYS>>') AS t2 FROM squared
         ), escaped AS (
-            SELECT *, replace(replace(t2, '<\<SYS>>', '\<\<SYS>>'), '<\</SYS>>', '\<\</SYS>>') AS body FROM angled
+            SELECT *, replace(replace(t2, '<<\SYS>>', '<\<\SYS>>'), '<<\/SYS>>', '<\<\/SYS>>') AS body FROM angled
         )
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -61,11 +61,11 @@ class Windows:
         self.start = inside - chunk.bounds[self.text]
         if len(inside):
             self.hash = run_hashes(words, window)[inside]
-            self.check = (run_hashes(chunk.hashes(1), window, 1)[inside] >> np.uint64(32)).astype(np.uint32)
+            self.check = run_hashes(chunk.hashes(1), window, 1)[inside]
             self.anchor = sliding_least(run_hashes(words, anchor), window - anchor + 1)[inside]
         else:
             self.hash = self.anchor = np.zeros(0, dtype=np.uint64)
-            self.check = np.zeros(0, dtype=np.uint32)
+            self.check = np.zeros(0, dtype=np.uint64)
 
     def repeats_within(self) -> np.ndarray:
         """Whether the same text has the same window earlier."""
@@ -124,12 +124,12 @@ def extended(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, anchor: in
                 at = np.flatnonzero(wanted & ~w.repeats_within())
                 ids = batch.column(0)[chunk.first : chunk.first + chunk.n_texts].take(pa.array(w.text[at]))
                 yield pa.record_batch(
-                    [pa.array(w.hash[at].astype(np.int64)), pa.array(w.check[at].astype(np.int32)), ids, pa.array(w.start[at].astype(np.int32))],
+                    [pa.array(w.hash[at].astype(np.int64)), pa.array(w.check[at].astype(np.int64)), ids, pa.array(w.start[at].astype(np.int32))],
                     names=["hash", "check", "doc_id", "start"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, f"hash long, check int, doc_id {kind}, start int")
+    return docs.select("doc_id", "text").join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, f"hash long, check long, doc_id {kind}, start int")
 
 
 def _with_text(values: np.ndarray, text: np.ndarray) -> np.ndarray:

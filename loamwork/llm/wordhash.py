@@ -3,8 +3,8 @@
 Texts come as an Arrow string column. A word of up to 15 bytes is its own key of
 128 bits: its bytes and its length. A longer word's key is 120 bits of its
 XXH3-128 digest, which no short word has. Hashes scramble the keys; the hash of a
-run of words is built by doubling, each step a scrambling of two halves, so no
-sums of words cancel out. Equal words have equal keys and hashes whatever batch,
+run of words is built by doubling, each step a compression of two halves that can't
+be undone for one of them, so words that collide are found by search alone. Equal words have equal keys and hashes whatever batch,
 task or run they are met in.
 """
 
@@ -42,8 +42,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def compressed(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """One hash of two, in this order: b scrambled under a, and b added again, so that b does not follow from a and the result."""
+    h = a * _HIGH[which]
+    h ^= h >> np.uint64(32)
+    h *= _LOW[which]
+    h ^= b
+    h = mix(h)
+    h += b
+    h ^= h >> np.uint64(29)
+    h *= _LOW[which]
+    return h ^ (h >> np.uint64(32))
+
+
 def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-    """One hash of two, in this order."""
+    """One number of two, in this order, for tables that compare whole keys: b follows from a and the result."""
     h = a ^ (a >> np.uint64(32))
     h *= _LOW[which]
     h += b
@@ -104,7 +117,7 @@ class Chunk:
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash for each word; two are to be had."""
         low, high = self.keys()
-        return mix(joined(high, low, which))
+        return mix(compressed(high, low, which))
 
 
 def run_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
@@ -118,10 +131,10 @@ def run_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     span, h = 1, words
     while 2 * span <= length:
-        h = joined(h[:-span], h[span:], which)
+        h = compressed(h[:-span], h[span:], which)
         span *= 2
     if span < length:
-        h = joined(h[:n], h[length - span :], which)
+        h = compressed(h[:n], h[length - span :], which)
     return mix(h ^ np.uint64(length))
 
 

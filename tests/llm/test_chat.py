@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamwork.llm.chat_trees import chosen_paths, digests, format_paths, format_turns, linear_messages, parse_turns, unescape
+from loamwork.llm.chat_trees import chosen_paths, digests, escape, format_paths, format_turns, linear_messages, parse_turns, unescape
 from loamwork.llm.common import cut
 
 BITS = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN x]", "[/TURN]", "[TURN ", "\\", "<", "[", "]", " ", "\n", "a", "é"]
@@ -20,6 +20,13 @@ def test_round_trip(turns):
     assert [unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
+@settings(max_examples=500, deadline=None)
+@given(TEXT)
+def test_no_control_string_is_left_in_a_body(text):
+    body = escape(text)
+    assert unescape(body) == text and not any(x in body for x in ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN ", "[/TURN]"])
+
+
 def brute_paths(rows, conv):
     own = {i: (p, s) for c, i, p, _, _, s in rows if c == conv}
     parents = {p for p, _ in own.values()}

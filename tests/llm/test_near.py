@@ -174,3 +174,31 @@ def test_common_lines_are_last_in_prefixes(make, monkeypatch):
     found = near_text.fingerprints(docs, 5, 0.8, frequent).collect()
     keys = [x for r in found for x in r["prefix"]]
     assert len(set(keys)) == len(keys) and all(len(r["prefix"]) == r["size"] - -(-4 * r["size"] // 5) + 1 for r in found)
+
+
+def pages_of_a_template(n, own, seed=0):
+    r = random.Random(seed)
+    shared = words(1, 120, size=10**6)
+    return [(i, " ".join(shared[:60] + ["o%d" % r.randrange(10**9) for _ in range(own)] + shared[60:])) for i in range(n)]
+
+
+def test_pages_of_a_template_below_the_similarity_meet_nobody(spark, make):
+    def met(n):
+        docs = make(pages_of_a_template(n, 12)).select("doc_id", "text")
+        sketches = near_text.fingerprints(docs, 5, 0.8, near_text.frequent_shingles(docs, 5))
+        none = spark.createDataFrame([], "node long, component long")
+        members = common.cut(near_text.mixed_buckets(near_text.shared_prefixes(sketches), none), "members").df
+        assert members.groupBy("key").count().where("count > 1").count() > 0
+        x, y = (near_text.meeting(members, 0.8, w) for w in "xy")
+        return x.join(y, ["key", "x_class", "y_class"]).count()  # what the join itself makes
+
+    assert met(300) <= 3 * 300 and met(900) <= 3 * 900
+
+
+def test_pages_of_a_template_around_the_similarity(make):
+    """Own parts of many lengths: some pairs are similar, most are not."""
+    rows = [(i * 10 + k, t) for k, own in enumerate((2, 5, 8, 10, 11, 14, 20)) for i, t in pages_of_a_template(9, own, k)]
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows}
+    want = closure(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicate_texts(make(rows)).collect()}
+    assert {i: found.get(i, i) for i in sets} == want and len(set(want.values())) > 5
