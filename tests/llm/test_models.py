@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.llm import language_id, lm_maxent, quality_llr
+from loamwork.llm.substring_dedup import substring_dedup
 from loamwork.llm.wordhash import chunks, run_hashes
 
 from .conftest import words
@@ -242,3 +244,32 @@ def test_lm_every_word_of_a_class_depends_on_all_features(n):
             same[level].append(len(some))
     assert same[0] == same[1] == [1, 1, 1] and same[2] == [0, int(n == 700), 1]
     assert len(set(zip(model.klass, model.slot, model.place, strict=True))) == n + lm_maxent.RARE_BUCKETS
+
+
+def test_words_made_to_collide_are_told_apart(make):
+    """Two words whose low halves were solved for, so that one half's scrambling and the other add up to the same."""
+    one, two = "!!(.4y&/:h[=~8i", "!!-ov:*p(#7zls6"
+    got = {r["doc_id"]: r["n_known"] for r in lm_maxent.score_documents(make([(1, one), (2, two)]), F.col("doc_id") == 1).collect()}
+    assert got == {1: 2, 2: 1}  # the end is known to both
+    text = " ".join(f"{one} {i} a{i}" if i % 2 else f"{two} {i} a{i}" for i in range(20))
+    assert quality_llr.quality_rules(make([(1, f"{one} a b {two} a b"), (2, text)]), make([]).selectExpr("doc_id", "0 AS quality", "0 AS toxic")).agg(F.sum("n_repeat_words")).first()[0] == 0
+    fill = [f"w{i}" for i in range(19)]
+    kept = substring_dedup(make([(1, " ".join([one, *fill])), (2, " ".join([two, *fill]))])).collect()
+    assert sorted(r["n_removed"] for r in kept) == [0, 0]
+
+
+def test_lm_learns_the_same_from_any_layout(spark, make):
+    r = random.Random(4)
+    docs = make([(i, " ".join(r.choice(["a b c", "b d", "c a e", f"x{i % 7}"]) for _ in range(300))) for i in range(60)])
+    training = F.col("doc_id") % 5 != 1
+    before, each = spark.conf.get("spark.sql.shuffle.partitions"), lm_maxent.TOKENS_A_TRAINER
+    found = []
+    try:
+        lm_maxent.TOKENS_A_TRAINER = 4_000
+        for parts, shuffled in ((1, 2), (8, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            found.append({x["doc_id"]: x["score"] for x in lm_maxent.score_documents(docs.repartition(parts), training).collect()})
+    finally:
+        lm_maxent.TOKENS_A_TRAINER = each
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 * abs(found[0][k]) + 1e-6 for k in found[0])
