@@ -262,14 +262,14 @@ def test_lm_learns_the_same_from_any_layout(spark, make):
     r = random.Random(4)
     docs = make([(i, " ".join(r.choice(["a b c", "b d", "c a e", f"x{i % 7}"]) for _ in range(300))) for i in range(60)])
     training = F.col("doc_id") % 5 != 1
-    before, each = spark.conf.get("spark.sql.shuffle.partitions"), lm_maxent.TOKENS_A_TRAINER
+    before, each = spark.conf.get("spark.sql.shuffle.partitions"), lm_maxent.TRAINER_TOKENS
     found = []
     try:
-        lm_maxent.TOKENS_A_TRAINER = 4_000
+        lm_maxent.TRAINER_TOKENS = 1_000
         for parts, shuffled in ((1, 2), (8, 7)):
             spark.conf.set("spark.sql.shuffle.partitions", shuffled)
             found.append({x["doc_id"]: x["score"] for x in lm_maxent.score_documents(docs.repartition(parts), training).collect()})
     finally:
-        lm_maxent.TOKENS_A_TRAINER = each
+        lm_maxent.TRAINER_TOKENS = each
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 * abs(found[0][k]) + 1e-6 for k in found[0])
