@@ -36,7 +36,7 @@ from .wordhash import mix, string_buffers
 #: Buckets of a bitmap: a power of two, 2 MB as bits.
 BUCKETS = 1 << 24
 #: Bytes of text that are counted at once; a longer text is one part.
-PART_BYTES = 1 << 23
+PART_BYTES = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
