@@ -66,9 +66,9 @@ ROUNDS = 3
 MINIBATCH = 16384
 RATE = 0.15
 TASKS_A_CORE = 2
-#: There are as many trainers as the root of the training tokens over this: it follows from the data, not from the
-#: cores, and more tokens make both more trainers and more for each to learn from before they are averaged.
-TRAINER_TOKENS = 1 << 17
+#: Their number follows from the data, not from the cores: the root of the training tokens over this, and for small
+#: corpora the fourth root over a 64th of it. More tokens make more trainers, and more for each to learn from.
+TRAINER_TOKENS = 1 << 20
 #: Sums of weights beyond it count as so much, and the share that stands for none.
 MOST_SUM, NEVER = np.float32(80), 1e-38
 #: Rows of a table that travel as one record.
@@ -507,7 +507,7 @@ class Trainer:
 
 def for_trainers(tokens: DataFrame, n_tokens: int) -> DataFrame:
     """trainer and tokens of the training texts, in an order that only the texts and their ids decide."""
-    trainers = max(1, math.isqrt(n_tokens // TRAINER_TOKENS))
+    trainers = max(1, math.isqrt(n_tokens // TRAINER_TOKENS), math.isqrt(math.isqrt(64 * n_tokens // TRAINER_TOKENS)))
     place = F.xxhash64("doc_id")
     dealt = tokens.where("training").select(F.pmod(F.xxhash64(place), F.lit(trainers)).alias("trainer"), place.alias("place"), "doc_id", "tokens")
     return dealt.repartition("trainer").sortWithinPartitions("trainer", "place", "doc_id", "tokens").select("trainer", "tokens")
