@@ -85,7 +85,13 @@ def inequality_join(left: DataFrame, right: DataFrame, first: Inequality, second
     if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         raise ValueError(f"no inequality join of kind {how}")
     a, b = (staged(side.withColumn("__id", F.monotonically_increasing_id()), "side").df for side in (left, right))
-    pairs = matching_pairs(a, b, first, second, range_rows)
+    return join_of_pairs(a, b, matching_pairs(a, b, first, second, range_rows), also, how)
+
+
+def join_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, also: Column | None, how: str) -> DataFrame:
+    """The join of any kind that pairs of ``__id`` make of two tables, without these; of the pairs only those count for which ``also`` holds."""
+    a, b = left, right
+    left, right = a.drop("__id"), b.drop("__id")
     a, b = a.withColumnRenamed("__id", "__left"), b.withColumnRenamed("__id", "__right")
     ids = pairs.withColumnRenamed("left_id", "__left").withColumnRenamed("right_id", "__right")
     if also is None and how in ("left_semi", "left_anti"):

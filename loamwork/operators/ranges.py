@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPREAD = 8
 
 
-def _number(df: DataFrame, x: str) -> Column:
+def number_of(df: DataFrame, x: str) -> Column:
     """Numbers as they are, times in seconds."""
     times = ("timestamp", "timestamp_ntz", "date")
     return F.unix_micros(F.col(x).cast("timestamp")) / 1e6 if dict(df.dtypes)[x] in times else F.col(x).cast("double")
@@ -31,7 +31,7 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, begin: str, end
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"no range join of kind {how}")
-    span = (_number(intervals, end) - _number(intervals, begin)) / F.lit(float(width))
+    span = (number_of(intervals, end) - number_of(intervals, begin)) / F.lit(float(width))
     level = F.greatest(F.ceil(F.log(float(SPREAD), span / SPREAD)), F.lit(0)).cast("int")
     levelled = intervals.where(F.col(begin) < F.col(end)).withColumn("__level", level)
     used = sorted(r[0] for r in levelled.select("__level").distinct().collect())  # a logarithm of the longest
@@ -40,8 +40,8 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, begin: str, end
     def joined(rows: DataFrame, step: int, kind: str) -> DataFrame:
         bin_of = lambda x: F.floor(x / F.lit(float(width) * SPREAD**step)).cast("long")
         own = levelled.where(F.col("__level") == step).drop("__level")
-        bins = own.withColumn("__bin", F.explode(F.sequence(bin_of(_number(intervals, begin)), bin_of(_number(intervals, end)))))
-        keyed = rows.withColumn("__at_bin", bin_of(_number(points, at)))
+        bins = own.withColumn("__bin", F.explode(F.sequence(bin_of(number_of(intervals, begin)), bin_of(number_of(intervals, end)))))
+        keyed = rows.withColumn("__at_bin", bin_of(number_of(points, at)))
         inside = (F.col("__at_bin") == F.col("__bin")) & (F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))
         return keyed.join(bins, inside, kind).drop("__bin", "__at_bin")
 

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from loamwork.plans import extended, relational, scale, streams  # noqa: F401
+from loamwork.plans import extended, relational, rounds, scale, streams  # noqa: F401
 from loamwork.sources import TABLES
 
 
