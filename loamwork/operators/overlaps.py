@@ -9,6 +9,8 @@ ends. Of the bins that both touch, the one where the later of them begins report
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from .ranges import SPREAD, number_of
 from .stages import staged
 
 
-def _levelled(side: DataFrame, begin: str, end: str) -> DataFrame:
-    """id, b, e and level of the intervals that are not empty."""
-    rows = side.where(F.col(begin) < F.col(end)).select(F.col("__id").alias("id"), number_of(side, begin).alias("b"), number_of(side, end).alias("e"))
+def _levelled(side: DataFrame, begin: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
+    """id, b, e, level and keys of the intervals that are not empty and whose keys are not null."""
+    rows = side.where(F.col(begin) < F.col(end)).dropna(subset=list(keys) or [begin])
+    rows = rows.select(F.col("__id").alias("id"), number_of(side, begin).alias("b"), number_of(side, end).alias("e"), F.struct(F.lit(0).alias("k"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"))
     return rows.where("b < e").withColumn("level", F.ceil(F.log(float(SPREAD), (F.col("e") - F.col("b")) / SPREAD)).cast("int"))
 
 
@@ -30,12 +33,12 @@ def _binned(rows: DataFrame, prefix: str, levels: Column) -> DataFrame:
     width = F.pow(F.lit(float(SPREAD)), F.col("at_level"))
     first, last = F.floor(F.col("b") / width).cast("long"), F.ceil(F.col("e") / width).cast("long") - 1
     binned = wide.withColumn("bin", F.explode(F.sequence(first, F.greatest(first, last))))
-    return binned.select(F.struct(F.col("at_level").alias("level"), "bin").alias(f"{prefix}_key"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "b", "e")])
+    return binned.select(F.struct(F.col("at_level").alias("level"), "bin", "keys").alias(f"{prefix}_key"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "b", "e")])
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, left_begin: str, left_end: str, right_begin: str, right_end: str, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """left_id, right_id of the pairs that share a point; both sides have a unique long ``__id``."""
-    a, b = (staged(_levelled(side, begin, end), "levelled").df for side, begin, end in ((left, left_begin, left_end), (right, right_begin, right_end)))
+def overlapping_pairs(left: DataFrame, right: DataFrame, left_begin: str, left_end: str, right_begin: str, right_end: str, on: Sequence[tuple[str, str]] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """left_id, right_id of the pairs that share a point and agree in the columns ``on``; both sides have a unique long ``__id``."""
+    a, b = (staged(_levelled(side, begin, end, [pair[i] for pair in on]), "levelled").df for i, (side, begin, end) in enumerate(((left, left_begin, left_end), (right, right_begin, right_end))))
     used = lambda rows: {r[0] for r in rows.select("level").distinct().collect()}  # noqa: E731  (a logarithm of the lengths)
     in_a, in_b = sorted(used(a)), sorted(used(b))
     among = lambda levels, test: F.filter(F.array(*[F.lit(x) for x in levels]), test) if levels else F.array().cast("array<int>")
@@ -51,10 +54,10 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, left_begin: str, left_e
     return one.unionAll(two)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_begin: str, left_end: str, right_begin: str, right_end: str, also: Column | None = None, how: str = "inner", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Pairs of intervals, begin included and end not, that share a point, and for which ``also`` holds.
+def overlap_join(left: DataFrame, right: DataFrame, left_begin: str, left_end: str, right_begin: str, right_end: str, on: Sequence[tuple[str, str]] = (), also: Column | None = None, how: str = "inner", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Pairs of intervals, begin included and end not, that share a point, agree in the pairs of columns ``on``, and for which ``also`` holds.
 
-    ``how`` is inner, left, right, full, left_semi or left_anti. Column names must
+    Columns of ``on`` have one type on both sides; a null there matches nothing. ``how`` is inner, left, right, full, left_semi or left_anti. Column names must
     differ between the sides. Numbers, dates and timestamps will do, compared as doubles
     (timestamps to the microsecond); intervals with a null or with no length match nothing. A bin that very many
     intervals touch is split like any hot key.
@@ -62,4 +65,4 @@ def overlap_join(left: DataFrame, right: DataFrame, left_begin: str, left_end: s
     if how not in KINDS:
         raise ValueError(f"no overlap join of kind {how}")
     a, b = (staged(side.withColumn("__id", F.monotonically_increasing_id()), "side").df for side in (left, right))
-    return join_of_pairs(a, b, overlapping_pairs(a, b, left_begin, left_end, right_begin, right_end, cell_rows), also, how)
+    return join_of_pairs(a, b, overlapping_pairs(a, b, left_begin, left_end, right_begin, right_end, on, cell_rows), also, how)

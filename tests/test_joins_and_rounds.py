@@ -82,7 +82,15 @@ def test_overlaps_of_all_lengths(spark, how):
     fit = lambda p, q: full(p) and full(q) and p[1] < q[2] and q[1] < p[2]
     assert same(overlap_join(a, b, "b1", "e1", "b2", "e2", how=how, cell_rows=40), joined(lefts, rights, fit, how))
     also = F.expr("(a + b) % 3 = 0")
-    assert same(overlap_join(a, b, "b1", "e1", "b2", "e2", also, how), joined(lefts, rights, lambda p, q: fit(p, q) and (p[0] + q[0]) % 3 == 0, how))
+    assert same(overlap_join(a, b, "b1", "e1", "b2", "e2", also=also, how=how), joined(lefts, rights, lambda p, q: fit(p, q) and (p[0] + q[0]) % 3 == 0, how))
+
+
+@pytest.mark.parametrize("how", ["full", "left_anti"])
+def test_overlaps_by_key(spark, how):
+    lefts, rights = ([(i, R.choice([None, "x", "x", "y", "z"]), b, e) for i, b, e in intervals(50, 60)] for _ in range(2))
+    a, b = spark.createDataFrame(lefts, "a long, k1 string, b1 double, e1 double"), spark.createDataFrame(rights, "b long, k2 string, b2 double, e2 double")
+    fit = lambda p, q: None not in p and None not in q and p[1] == q[1] and p[2] < p[3] and q[2] < q[3] and p[2] < q[3] and q[2] < p[3]
+    assert same(overlap_join(a, b, "b1", "e1", "b2", "e2", [("k1", "k2")], how=how, cell_rows=20), joined(lefts, rights, fit, how))
 
 
 def test_overlaps_of_times_and_of_nothing(spark):
