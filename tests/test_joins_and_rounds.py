@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.functions.partials import MinHash, PartialAggregate, aggregate_in_python
-from loamwork.operators import fixpoint, hot_key_join, overlap_join, reachable
+from loamwork.operators import fixpoint, hot_key_join, overlap_join, reachable, theta_join
 from loamwork.operators.hotkeys import frequent_keys
 
 R = random.Random(11)
@@ -116,6 +116,15 @@ def test_short_intervals_in_one_long_ones_bin_are_not_tried_with_each_other(spar
     assert one.count() + two.count() < 5 * 4001
 
 
+@pytest.mark.parametrize("how", KINDS)
+def test_theta_joins_of_sides_too_large_to_broadcast(spark, how):
+    lefts, rights = ([(i, R.choice([None, *range(20)])) for i in range(n)] for n in (70, 50))
+    a, b = spark.createDataFrame(lefts, "a long, x int").repartition(3), spark.createDataFrame(rights, "b long, y int").repartition(2)
+    fit = lambda p, q: None not in (p[1], q[1]) and (p[1] * q[1]) % 13 == 5
+    assert same(theta_join(a, b, F.expr("(x * y) % 13 = 5"), how, most_rows=10, cell_rows=16), joined(lefts, rights, fit, how))
+    assert theta_join(a, b.limit(0), F.expr("x < y"), how, most_rows=-1, cell_rows=16).count() == (70 if how in ("left", "full", "left_anti") else 0)
+
+
 def test_reach_with_loops_repeats_and_nulls(spark):
     edges = [(i, i + 1) for i in range(25)] + [(25, 3), (5, 5), (0, 1), (0, 1), (None, 4), (4, None), (100, 101), (7, 20)]
     df = spark.createDataFrame(edges, "s int, t int")

@@ -73,8 +73,9 @@ def test_percentiles_ranks_and_joins_on_any_condition(spark):
     small = spark.range(3)
     assert theta_join(table, small, F.col("x") < F.col("id")).count() == sum(x is not None and x < i for x in values for i in range(3))
     assert theta_join(table, small, None).count() == 3 * len(values)
+    assert theta_join(table, small, None, most_rows=2, cell_rows=2).count() == 3 * len(values)
     with pytest.raises(ValueError):
-        theta_join(table, small, None, most_rows=2)
+        theta_join(table, small, None, how="cross")
 
 
 def test_sessions_keep_an_event_one_gap_later(spark):
