@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +17,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Ids that are broadcast at most; more are joined by a shuffle.
+#: Ids that are broadcast at most; of more ids a filter is.
 MOST_BROADCAST = 1 << 19
+#: Bits of that filter for each id, and at most: 64 MB however many ids there are.
+FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 29
+#: Bits in one row of the filter, as Spark's own functions for bitmaps have it.
+ROW_BITS = 1 << 15
 
 #: Rows of an Arrow batch where the session has Spark's own 10,000, which is much memory if texts are long.
 BATCH_ROWS = 1_000
@@ -30,8 +37,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on batches of BATCH_ROWS rows, unless the session has set its own number."""
-    if spark.conf.get(_BATCH) == "10000":
+    """From now on batches of BATCH_ROWS rows, unless the session has set a number of its own."""
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
@@ -43,11 +50,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) among the doc_id of ``ids``, a table; null is an id.
 
-    Up to ``MOST_BROADCAST`` ids are broadcast, so that no text moves.
+    Up to ``MOST_BROADCAST`` ids are broadcast, so that no text moves. Beyond that a
+    filter of bits is, and only rows that it lets through are joined by a shuffle.
     """
-    wanted = ids.select(F.col("doc_id").alias("__wanted_id"))
-    wanted = F.broadcast(wanted) if ids.count() <= MOST_BROADCAST else wanted
-    return docs.join(wanted, docs[id_col].eqNullSafe(F.col("__wanted_id")), how)
+    wanted, n = ids.select(F.col("doc_id").alias("__wanted_id")), ids.count()
+    if n <= MOST_BROADCAST:
+        return docs.join(F.broadcast(wanted), docs[id_col].eqNullSafe(F.col("__wanted_id")), how)
+    marked = with_filter(docs, ids, id_col, n)
+    maybe = marked.where("__maybe").drop("__maybe")
+    found = maybe.join(wanted, maybe[id_col].eqNullSafe(F.col("__wanted_id")), how)
+    return found if how == "left_semi" else marked.where("not __maybe").drop("__maybe").union(found)
+
+
+def with_filter(docs: DataFrame, ids: DataFrame, id_col: str, n: int) -> DataFrame:
+    """``docs`` with __maybe: false only where the row's id is surely none of the ``n`` ``ids``.
+
+    A bit of a bitmap is set for the hash of each id, as in a Bloom filter of one hash.
+    """
+    bits = min(max(1 << (n * FILTER_BITS - 1).bit_length(), ROW_BITS), MOST_FILTER_BITS)
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    def row_of(at: Column) -> Column:
+        return F.shiftright(at, 15)
+
+    at = place(F.col("doc_id"))
+    rows = ids.select(row_of(at).alias("__row"), (at % ROW_BITS).alias("at")).groupBy("__row").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    here = place(docs[id_col])
+    joined = docs.withColumn("__at", here).join(F.broadcast(rows), row_of(F.col("__at")) == F.col("__row"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", ((F.col("__at") % ROW_BITS) / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col("__at") % 8 + 1).cast("int"))) > 0
+    return joined.withColumn("__maybe", F.coalesce(is_set, F.lit(False))).drop("__at", "__row", "__bits")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +102,37 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/loamwork/{tag}-{uuid.uuid4().hex}"
 
 
+class _Cleanup:
+    """While a table is written, what Spark shuffled for it goes as soon as it is done.
+
+    The first of several writes at a time sets this for the session, the last puts back what was there.
+    """
+
+    def __init__(self) -> None:
+        self.lock, self.writes, self.before = threading.Lock(), {}, {}
+
+    @contextlib.contextmanager
+    def of(self, spark: SparkSession) -> Iterator[None]:
+        key = spark._jsparkSession.sessionUUID()
+        with self.lock:
+            if not self.writes.get(key):
+                self.before[key] = spark.conf.get(_CLEANUP, None)
+                spark.conf.set(_CLEANUP, "true")
+            self.writes[key] = self.writes.get(key, 0) + 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.writes[key] -= 1
+                if not self.writes[key]:
+                    del self.writes[key]
+                    before = self.before.pop(key)
+                    spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+_cleanup = _Cleanup()
+
+
 def cut(df: DataFrame, tag: str) -> Cut:
     """Write ``df`` as a table in the shared folder and go on from the file.
 
@@ -77,15 +142,8 @@ def cut(df: DataFrame, tag: str) -> Cut:
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, tag)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleanup.of(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return Cut(spark, path, df.schema)
 
 

@@ -7,7 +7,8 @@ a hash is met more than once: those are grouped by (hash, normalised text), so r
 stand together only if all their bytes agree, and copies combine before the shuffle
 whatever their number. What follows carries hashes and counts alone. The ids whose
 texts are looked at, and those that go, are broadcast up to ``MOST_BROADCAST`` of
-them and joined by a shuffle beyond that.
+them; beyond that a filter of their hashes is, of bounded size, and only texts it lets
+through move.
 
 Defined cases: a null text counts as empty, and empty texts equal each other; ids
 are of any type that has an order; rows that repeat a doc_id with the same text are

@@ -23,6 +23,7 @@ table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,6 +48,8 @@ SCALE = 1024.0
 BATCH = 8192
 #: Bytes of a batch of long words.
 BATCH_BYTES = 1 << 17
+#: Places whose arcs' probabilities are gathered at a time.
+BLOCK = 64
 
 _WORD_CHARS = re.compile(r"[^\W\d_]+")
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -177,23 +180,36 @@ class Lattice:
         self.down = self._steps(-(begin - first[word]), self.begin)
 
     @staticmethod
-    def _steps(place: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Arcs by the place in their word that they lead to, those of one target side by side: arcs, where each target's begin, and targets."""
+    def _steps(place: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs by the place in their word that they lead to, those of one target side by side.
+
+        The arcs in that order; where each target's begin, and their end; the targets;
+        and where each place's targets begin, and their end.
+        """
         order = np.lexsort((target, place))
-        out = []
-        for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(target[part]) > 0])) if len(part) else part
-            out.append((part, starts, target[part[starts]]))
-        return out
+        place, target = place[order], target[order]
+        starts = np.flatnonzero(np.diff(target, prepend=-1))  # a target has one place only
+        places = np.flatnonzero(np.diff(place[starts], prepend=place[:1] - 1))
+        return order, np.append(starts, len(order)), target[starts], np.append(places, len(starts))
 
     def _carried(self, values: np.ndarray, steps, come_from: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """``values`` by place, with all arcs followed in the order of ``steps``."""
-        for arcs, starts, target in steps:
-            came, piece = values[come_from[arcs]], self.piece[arcs]
-            if self.logs:
-                values[target] = np.logaddexp(values[target], np.logaddexp.reduceat(came + np.log(p[piece]), starts, axis=0))
-            else:
-                values[target] += np.add.reduceat(came * p[piece] * (SCALE ** self.bytes[arcs])[:, None], starts, axis=0)
+        """``values`` by place, with all arcs followed in the order of ``steps``, that is each target once."""
+        order, starts, targets, places = steps
+        bounds, goals, piece, places = starts.tolist(), targets.tolist(), self.piece[order], places.tolist()
+        come_from, scale, log_p = come_from[order], SCALE ** self.bytes[order] if not self.logs else None, np.log(p) if self.logs else None
+        for block in range(0, len(places) - 1, BLOCK):
+            block_places = places[block : block + BLOCK + 1]
+            base, end = bounds[block_places[0]], bounds[block_places[-1]]
+            weights = log_p[piece[base:end]] if self.logs else p[piece[base:end]] * scale[base:end, None]
+            for at, stop in itertools.pairwise(block_places):
+                first, last = bounds[at], bounds[stop]
+                came, weight = values[come_from[first:last]], weights[first - base : last - base]
+                if not self.logs:
+                    values[targets[at:stop]] = np.add.reduceat(came * weight, starts[at:stop] - first, axis=0)
+                elif stop - at > 1:
+                    values[targets[at:stop]] = np.logaddexp.reduceat(came + weight, starts[at:stop] - first, axis=0)
+                else:  # one place of one word
+                    values[goals[at]] = np.logaddexp.reduce(came + weight, axis=0)
         return values
 
     def forward(self, p: np.ndarray) -> np.ndarray:

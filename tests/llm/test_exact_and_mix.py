@@ -97,7 +97,7 @@ def test_mix(make, odd_rows, monkeypatch, most):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     found = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)

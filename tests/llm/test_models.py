@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -118,6 +119,20 @@ def test_forward_sums_all_segmentations():
     assert lengths @ uses == pytest.approx(sum(map(len, tried)))
 
 
+def test_a_word_of_a_megabyte():
+    pieces = language_id.vocabulary(language_id.VOCABULARY)
+    p = np.stack([pieces.prior(), pieces.prior()[::-1]], axis=1)
+    # Only arcs from the place before lead to a place, and no piece is longer than a byte: the sum is a product.
+    single = np.array([len(x) == 1 for x in pieces.pieces])
+    with np.errstate(divide="ignore"):
+        word, bytes_only = b"Zq9" * 350_000, np.where(single[:, None], p, 0)
+        began = time.process_time()
+        got = language_id.Lattice([word], pieces).log_probabilities(bytes_only)
+    took = time.process_time() - began
+    assert got[0] == pytest.approx(350_000 * np.log([p[[pieces.pieces.index(x) for x in (b"Z", b"q", b"9")], k] for k in (0, 1)]).sum(axis=1), rel=1e-9)
+    assert took < 30  # about six seconds; it was over half a minute
+
+
 def test_long_words_are_summed_whole():
     pieces = language_id.vocabulary(language_id.VOCABULARY)
     assert len(pieces) == 50_256 and max(map(len, pieces.pieces)) > 100
