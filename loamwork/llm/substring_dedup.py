@@ -13,7 +13,9 @@ Only the first document with a window matters for the others, so no pairs are
 made. The first one is a minimum, combined before the shuffle; each document
 names an anchor or window once; the joins that bring the minimum back are ones
 that Spark's skew join can split. A passage in a third of all documents is thus
-linear work spread over all tasks.
+linear work spread over all tasks. Texts move only where a document shares an
+anchor, and again where it has a window to lose to another; all others stay where
+they are read.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all
 its words; windows that repeat within their own document go without any join;
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, joined_by_id
 from .wordhash import Chunk, chunks, mix, run_hashes
 
 WINDOW = 20
@@ -129,7 +131,8 @@ def extended(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, anchor: in
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, f"hash long, check long, doc_id {kind}, start int")
+    seeded = joined_by_id(docs.select("doc_id", "text"), seeds.select("doc_id"), "doc_id", "left_semi")
+    return seeded.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, f"hash long, check long, doc_id {kind}, start int")
 
 
 def _with_text(values: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -181,12 +184,10 @@ def without_repeats(docs: DataFrame, starts: DataFrame, window: int = WINDOW, an
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = starts.withColumnRenamed("doc_id", "__doc_id")
-    return (
-        docs.join(places, F.col("doc_id") == F.col("__doc_id"), "left")
-        .select("doc_id", "text", "starts")
-        .mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_text string, repeats array<array<int>>")
-    )
+    docs, ids, places = docs.select("doc_id", "text"), starts.select("doc_id"), starts.withColumnRenamed("doc_id", "__doc_id")
+    some = joined_by_id(docs, ids, "doc_id", "left_semi").join(places, F.col("doc_id") == F.col("__doc_id")).select("doc_id", "text", "starts")
+    rest = joined_by_id(docs, ids, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
+    return some.union(rest).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_text string, repeats array<array<int>>")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from loamwork.llm import common
 from loamwork.llm.substring_dedup import substring_dedup
 
 from .conftest import words
@@ -21,8 +22,9 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,anchor", [(20, 10), (4, 2)])
-def test_against_brute_force(make, odd_rows, window, anchor):
+@pytest.mark.parametrize("window,anchor,most", [(20, 10, 1 << 19), (20, 10, 0), (4, 2, 1 << 19)])
+def test_against_brute_force(make, odd_rows, window, anchor, most, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     r = random.Random(2)
     passages = [words(20 + i, 45) for i in range(4)]
     rows = [x for x in odd_rows if x[0] is not None]
