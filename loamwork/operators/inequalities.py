@@ -6,24 +6,35 @@ at one bit, where the left one has 0 and the right one 1: a pair meets under the
 bits above it and nowhere else. So each row goes to as many keys as its number has
 bits of its side's kind, and the join is an equality on such keys.
 
-With two inequalities a key's rows go on only if the second can still hold there: a
-left row's second number must be below the greatest of the key's right rows, and
-the other way round. What goes on has a partner, so it is at most twice the result,
-and is keyed by the second number in the same way. Every pair made is a row of the
-result: the work is that of two sorts, some narrow rows for each row, and the result.
+With two inequalities rows go on only if the second can still hold: a left row's
+second number must be below the greatest of the right rows that the first allows, and
+the other way round. That is tried on blocks of first numbers, ``BLOCKS`` at most,
+before any row is copied to its keys, and then within each key. What goes on has a
+partner, so it is at most twice the result, and is keyed by the second number in
+the same way. Rows go there with all their columns, so a pair that is made is a row of
+the result and moves nowhere: what is shuffled follows from the rows that have
+partners, not from the pairs. A key with very many rows is split like any hot key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hotkeys import hot_key_join
 from .ordered import RANGE_ROWS, row_numbers
 from .stages import staged
 
+#: Blocks of first numbers, whose bounds are broadcast.
+BLOCKS = 1 << 16
+
+#: Rows of a side that a cell of pairs gets, about.
+PAIR_ROWS = 1 << 13
+
 
 @dataclass(frozen=True)
 class Inequality:
@@ -38,13 +49,18 @@ class Inequality:
             raise ValueError(f"no inequality {self.op}")
 
 
-def _numbers(left: DataFrame, right: DataFrame, by: Inequality, name: str, range_rows: int) -> DataFrame:
-    """side, id and the number of its value: the inequality holds if the left row's is the lower. Nulls have none."""
+def _numbers(left: DataFrame, right: DataFrame, by: Inequality, name: str, range_rows: int, on: Sequence[tuple[Column, Column]] = ()) -> DataFrame:
+    """side, id, what must be equal, and the number of its value: the inequality holds if the left row's is the lower. Nulls have none."""
     # of equal values the right one comes first where they do not match, and last where they do
     side = lambda is_left: F.lit(int(is_left) if by.op in ("<", ">") else int(not is_left))
-    rows = left.select(F.lit(True).alias("is_left"), F.col("__id").alias("id"), by.left.alias("v"), side(True).alias("tie")).unionByName(right.select(F.lit(False).alias("is_left"), F.col("__id").alias("id"), by.right.alias("v"), side(False).alias("tie")))
+    keys = lambda i: F.struct(F.lit(0).alias("k"), *[pair[i].alias(f"k{n}") for n, pair in enumerate(on)]).alias("keys")
+
+    def rows(df: DataFrame, i: int, value: Column) -> DataFrame:
+        some = reduce(lambda a, b: a & b, [value.isNotNull(), *[pair[i].isNotNull() for pair in on]])
+        return df.where(some).select(F.lit(not i).alias("is_left"), F.col("__id").alias("id"), keys(i), value.alias("v"), side(not i).alias("tie"))
+
     value = F.col("v").asc() if by.op in ("<", "<=") else F.col("v").desc()
-    return row_numbers(rows.where(F.col("v").isNotNull()), [value, F.col("tie")], name, range_rows).select("is_left", "id", name)
+    return row_numbers(rows(left, 0, by.left).unionByName(rows(right, 1, by.right)), [value, F.col("tie")], name, range_rows).select("is_left", "id", "keys", name)
 
 
 def _keyed(rows: DataFrame, number: str, bits: int, level: str, node: str) -> DataFrame:
@@ -53,60 +69,100 @@ def _keyed(rows: DataFrame, number: str, bits: int, level: str, node: str) -> Da
     return rows.withColumn(level, F.explode(places)).withColumn(node, F.expr(f"shiftright({number}, {level} + 1)"))
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where("is_left").drop("is_left"), rows.where("not is_left").drop("is_left")
+def _with_bounds(rows: DataFrame, bits: int) -> DataFrame:
+    """The rows whose second number is within what the other side has beyond their block of first numbers: all that have a partner, and few others."""
+    block = F.shiftright("p1", max(0, bits - BLOCKS.bit_length() + 1))
+    ends = rows.groupBy(block.alias("of")).agg(F.min(F.when(F.col("is_left"), F.col("p2"))).alias("least"), F.max(F.when(~F.col("is_left"), F.col("p2"))).alias("most"))
+    upto, onward = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("of").rowsBetween(0, Window.unboundedFollowing)
+    bounds = staged(ends.select("of", F.min("least").over(upto).alias("least"), F.max("most").over(onward).alias("most")), "bounds").df  # a row a block
+    return rows.join(F.broadcast(bounds), block == F.col("of")).where("if(is_left, p2 < most, p2 > least)").drop("of", "least", "most")
 
 
-def matching_pairs(left: DataFrame, right: DataFrame, first: Inequality, second: Inequality | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """left_id, right_id of all pairs for which the inequalities hold; both sides have a unique long ``__id``."""
-    one = staged(_numbers(left, right, first, "p1", range_rows), "numbers")
+def partners(left: DataFrame, right: DataFrame, first: Inequality, second: Inequality | None, on: Sequence[tuple[Column, Column]], range_rows: int) -> tuple[DataFrame, str, int]:
+    """is_left, id, keys, the number to go by, level and node, if two inequalities; its name; the bits of a number.
+
+    With two inequalities these are rows that have a partner under their level and node; both sides have a unique long ``__id``.
+    """
     bits = max(1, (left.count() + right.count()).bit_length())
+    one = staged(_numbers(left, right, first, "p1", range_rows, on), "numbers")
     if second is None:
-        lefts, rights = _split(_keyed(one.df, "p1", bits, "level", "node"))
-        return lefts.select("level", "node", F.col("id").alias("left_id")).join(rights.select("level", "node", F.col("id").alias("right_id")), ["level", "node"]).select("left_id", "right_id")
-    two = _numbers(left, right, second, "p2", range_rows)
-    both = staged(one.df.join(two, ["is_left", "id"]), "numbers")
+        return one.df, "p1", bits
+    two = _numbers(left, right, second, "p2", range_rows, on).drop("keys")
+    both = staged(one.df.hint("merge").join(two.hint("merge"), ["is_left", "id"]), "numbers")
     one.drop()
-    keyed = _keyed(both.df, "p1", bits, "level", "node").select("is_left", "id", "p2", "level", "node")
-    ends = keyed.groupBy("level", "node").agg(F.min(F.when(F.col("is_left"), F.col("p2"))).alias("least"), F.max(F.when(~F.col("is_left"), F.col("p2"))).alias("most")).where("least < most")
-    alive = staged(keyed.join(ends, ["level", "node"]).where("if(is_left, p2 < most, p2 > least)").drop("least", "most"), "alive")
-    lefts, rights = _split(_keyed(alive.df, "p2", bits, "level2", "node2"))
-    keys = ["level", "node", "level2", "node2"]
-    return lefts.select(*keys, F.col("id").alias("left_id")).join(rights.select(*keys, F.col("id").alias("right_id")), keys).select("left_id", "right_id")
+    some = staged(_with_bounds(both.df, bits), "within")
+    both.drop()
+    keyed = _keyed(some.df, "p1", bits, "level", "node").select("is_left", "id", "keys", "p2", "level", "node")
+    under = ["keys", "level", "node"]
+    ends = keyed.groupBy(*under).agg(F.min(F.when(F.col("is_left"), F.col("p2"))).alias("least"), F.max(F.when(~F.col("is_left"), F.col("p2"))).alias("most")).where("least < most")
+    alive = staged(keyed.hint("merge").join(ends.hint("merge"), under).where("if(is_left, p2 < most, p2 > least)").drop("least", "most"), "alive")
+    some.drop()
+    return alive.df, "p2", bits
 
 
-def inequality_join(left: DataFrame, right: DataFrame, first: Inequality, second: Inequality | None = None, also: Column | None = None, how: str = "inner", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows of two sides of any size for which one or two inequalities hold, and ``also``, a condition on the pair.
+def inequality_join(left: DataFrame, right: DataFrame, first: Inequality, second: Inequality | None = None, also: Column | None = None, how: str = "inner", range_rows: int = RANGE_ROWS, on: Sequence[tuple[Column, Column]] = (), cell_rows: int = PAIR_ROWS) -> DataFrame:
+    """Rows of two sides of any size for which one or two inequalities hold, what ``on`` pairs is equal, and ``also``, a condition on the pair.
 
     ``how`` is inner, left, right, full, left_semi or left_anti. Column names must
     differ between the sides. Values may be of any type that has an order; a null
-    matches nothing. Choose as inequalities the two that most pairs fail.
+    matches nothing, in ``on`` too. Choose as inequalities the two that most pairs fail.
     """
     if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         raise ValueError(f"no inequality join of kind {how}")
     a, b = (staged(side.withColumn("__id", F.monotonically_increasing_id()), "side").df for side in (left, right))
-    return join_of_pairs(a, b, matching_pairs(a, b, first, second, range_rows), also, how)
+    alive, number, bits = partners(a, b, first, second, on, range_rows)
+    known = also is None and second is not None  # who has a partner
+    if known and how in ("left_semi", "left_anti"):
+        ids = alive.where("is_left").select(F.col("id").alias("__id"))
+        return a.hint("merge").join(ids.hint("merge"), "__id", how).select(*left.columns)
+
+    def keyed(side: DataFrame, is_left: bool, name: str) -> DataFrame:
+        own = alive.where(F.col("is_left") == is_left)
+        rows = staged(own.hint("merge").join(side.hint("merge"), F.col("id") == F.col("__id")).drop("id"), "partners").df
+        spread = _keyed(rows, number, bits, "__level", "__node")
+        key = F.struct("keys", *([] if second is None else ["level", "node"]), "__level", "__node")
+        return spread.select(*[c for c in side.columns if c != "__id"], F.col("__id").alias(f"__{name}_id"), key.alias(f"__{name}_at"))
+
+    met = hot_key_join(keyed(a, True, "left"), keyed(b, False, "right"), "__left_at", "__right_at", "inner", cell_rows)
+    met = met if also is None else met.where(also)
+    if how == "inner":
+        return met.select(*left.columns, *right.columns)
+    if how in ("left_semi", "left_anti"):
+        return a.hint("merge").join(met.select(F.col("__left_id").alias("__id")).hint("merge"), "__id", how).select(*left.columns)
+    if known:
+        partnered = lambda name: alive.where(F.col("is_left") == (name == "left")).select(F.col("id").alias("__id"))
+    else:
+        met = staged(met, "matches").df
+        partnered = lambda name: met.select(F.col(f"__{name}_id").alias("__id"))
+    found = [met.select(*left.columns, *right.columns)]
+    nulls = lambda side: [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema]
+    if how in ("left", "full"):
+        found.append(a.hint("merge").join(partnered("left").hint("merge"), "__id", "left_anti").select(*left.columns, *nulls(right)))
+    if how in ("right", "full"):
+        found.append(b.hint("merge").join(partnered("right").hint("merge"), "__id", "left_anti").select(*nulls(left), *right.columns))
+    return reduce(DataFrame.unionAll, found)
 
 
 def join_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, also: Column | None, how: str) -> DataFrame:
     """The join of any kind that pairs of ``__id`` make of two tables, without these; of the pairs only those count for which ``also`` holds."""
+    # by sort and merge: what Spark guesses of the sides from their compressed files may be far too little to broadcast them
     a, b = left, right
     left, right = a.drop("__id"), b.drop("__id")
     a, b = a.withColumnRenamed("__id", "__left"), b.withColumnRenamed("__id", "__right")
     ids = pairs.withColumnRenamed("left_id", "__left").withColumnRenamed("right_id", "__right")
     if also is None and how in ("left_semi", "left_anti"):
-        return a.join(ids.select("__left"), "__left", how).select(*left.columns)
-    met = ids.join(a, "__left").join(b, "__right")
+        return a.hint("merge").join(ids.select("__left").hint("merge"), "__left", how).select(*left.columns)
+    met = ids.hint("merge").join(a.hint("merge"), "__left").hint("merge").join(b.hint("merge"), "__right")
     met = met if also is None else met.where(also)
     if how == "inner":
         return met.select(*left.columns, *right.columns)
     if how in ("left_semi", "left_anti"):
-        return a.join(met.select("__left"), "__left", how).select(*left.columns)
+        return a.hint("merge").join(met.select("__left").hint("merge"), "__left", how).select(*left.columns)
     met = staged(met, "matches").df
     found = [met.select(*left.columns, *right.columns)]
     nulls = lambda side: [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema]
     if how in ("left", "full"):
-        found.append(a.join(met.select("__left"), "__left", "left_anti").select(*left.columns, *nulls(right)))
+        found.append(a.hint("merge").join(met.select("__left").hint("merge"), "__left", "left_anti").select(*left.columns, *nulls(right)))
     if how in ("right", "full"):
-        found.append(b.join(met.select("__right"), "__right", "left_anti").select(*nulls(left), *right.columns))
+        found.append(b.hint("merge").join(met.select("__right").hint("merge"), "__right", "left_anti").select(*nulls(left), *right.columns))
     return reduce(DataFrame.unionAll, found)

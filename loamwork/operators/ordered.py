@@ -44,7 +44,7 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str, range_rows: i
     rows = _ranged(df, order, range_rows)
     sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     offsets = _before(sizes, {"n": (F.col("__n"), F.sum("__n"))})
-    numbered = rows.join(offsets, F.col("__range") == F.col("__of"))
+    numbered = rows.join(F.broadcast(offsets), F.col("__range") == F.col("__of"))  # a row a range
     return numbered.select(*df.columns, (F.coalesce("__before_n", F.lit(0)) + F.col("__seq")).cast("long").alias(name))
 
 
@@ -60,7 +60,7 @@ def running_totals_in_order(df: DataFrame, order: Sequence[Column], totals: Mapp
     offsets = _before(sums, {name: (F.col(f"__part_{name}"), onward[kind](f"__part_{name}")) for name, (kind, _) in totals.items()})
     inside = Window.partitionBy("__range").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
     scanned = rows.select("*", *[step[kind](column).over(inside).alias(f"__in_{name}") for name, (kind, column) in totals.items()])
-    joined = scanned.join(offsets, F.col("__range") == F.col("__of"))
+    joined = scanned.join(F.broadcast(offsets), F.col("__range") == F.col("__of"))
 
     def total(name: str, kind: str) -> Column:
         a, b = F.col(f"__before_{name}"), F.col(f"__in_{name}")
