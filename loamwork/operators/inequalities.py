@@ -73,7 +73,7 @@ def _with_bounds(rows: DataFrame, bits: int) -> DataFrame:
     """The rows whose second number is within what the other side has beyond their block of first numbers: all that have a partner, and few others."""
     block = F.shiftright("p1", max(0, bits - BLOCKS.bit_length() + 1))
     ends = rows.groupBy(block.alias("of")).agg(F.min(F.when(F.col("is_left"), F.col("p2"))).alias("least"), F.max(F.when(~F.col("is_left"), F.col("p2"))).alias("most"))
-    upto, onward = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("of").rowsBetween(0, Window.unboundedFollowing)
+    upto, onward = (Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.col("of").asc(), F.col("of").desc()))
     bounds = staged(ends.select("of", F.min("least").over(upto).alias("least"), F.max("most").over(onward).alias("most")), "bounds").df  # a row a block
     return rows.join(F.broadcast(bounds), block == F.col("of")).where("if(is_left, p2 < most, p2 > least)").drop("of", "least", "most")
 
