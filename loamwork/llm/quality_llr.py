@@ -3,8 +3,8 @@
 Words and word pairs of every text fall into a fixed number of buckets. One
 pass counts the buckets over the whole raw corpus and over its trusted part,
 which gives two multinomials; a text's score is the mean of log P(bucket |
-trusted) - log P(bucket | raw) over its n-grams. The trusted part is a bounded
-sample of the labelled rows, of ``trusted_docs`` documents at most. The threshold
+trusted) - log P(bucket | raw) over its n-grams. The trusted part is all documents
+that are labelled good, however many. The threshold
 is read off their own scores: their mean less ``sigmas`` standard deviations, so
 that a text which reads like trusted ones stays wherever it comes from. Every
 document is counted and every document is judged; the model is two vectors of
@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import MOST_BROADCAST, cut, small_batches, texts_of, with_filter
 from .wordhash import Chunk, chunks, mix, run_hashes
 
 BUCKETS = 1 << 17
 NGRAMS = (1, 2)
 SIGMAS = 6.0
-#: Labelled documents that the trusted side is learned from, at most.
-TRUSTED_DOCS = 20_000
 PRIOR = 4.0
 
 #: The characters that count as symbols (fixed values of the rules).
@@ -44,16 +42,25 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """``docs`` with the column __trusted, true for up to ``trusted_docs`` documents whose label says quality 1.
+def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``docs`` with __trusted: whether the row is labelled good.
 
-    They are chosen by the hash of their id. As there are no more than so many
-    ids they are broadcast, and no text moves.
+    Up to ``most_broadcast`` ids are broadcast, so no text moves. Beyond that a filter
+    of bits is, and only the rows that it lets through are joined by a shuffle.
     """
     small_batches(docs.sparkSession)
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__trusted_id")).distinct()
-    trusted = trusted.orderBy(F.xxhash64("__trusted_id"), "__trusted_id").limit(trusted_docs)
-    return docs.join(F.broadcast(trusted), docs[id_col] == trusted["__trusted_id"], "left").withColumn("__trusted", F.col("__trusted_id").isNotNull()).drop("__trusted_id")
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    table = cut(good, "trusted").df
+    ids, n = table.select(F.col("doc_id").alias("__trusted_id")), table.count()
+
+    def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(ids, rows[id_col] == F.col("__trusted_id"), "left").withColumn("__trusted", F.col("__trusted_id").isNotNull()).drop("__trusted_id")
+
+    if n <= most_broadcast:
+        return marked(docs, F.broadcast(ids))
+    filtered = with_filter(docs, table, id_col, n)
+    rest = filtered.where("not __maybe").drop("__maybe").withColumn("__trusted", F.lit(False))
+    return marked(filtered.where("__maybe").drop("__maybe"), ids).unionByName(rest)
 
 
 def gram_buckets(chunk: Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
