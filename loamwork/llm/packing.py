@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .tokens import encode_documents
 
 GROUP_ROWS = 20_000
@@ -98,6 +98,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for first, ids, sizes in encode_documents(tokenizer, batch.column(1), end):
                 counts = -(-sizes // capacity)
                 ends = np.cumsum(counts)
