@@ -10,58 +10,74 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Stands for no last event.
+_NONE = -(1 << 62)
+_DAY = 86_400_000_000
+
+
 class Silence(StatefulProcessor):
     """Tells of each time a key was silent for longer than a limit, as soon as that is known.
 
     Of two events in one batch the gap is seen at once; after a key's last event a
-    timer is set, which the watermark lets expire. The list of recent event ids, kept
-    for as long as a repeat may come, leaves out events met again; the map counts a
-    key's alerts by day.
+    timer is set, which the watermark lets expire. Recent event ids, kept for as long
+    as a repeat may come, leave out events met again; a key's alerts are counted by
+    day. All of it is one value, read and written once for a key's rows of a batch, as
+    each call to the state store costs about as much as some hundred rows. Times are
+    in microseconds.
     """
 
     def __init__(self, seconds: float) -> None:
-        self.limit = pd.Timedelta(seconds=seconds)
+        self.limit = round(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp")
-        self.told = handle.getMapState("told", "day string", "n int")
-        self.seen = handle.getMapState("seen", "event_id long", "at timestamp")
+        self.known = handle.getValueState("known", "last long, events array<long>, at array<long>, days array<int>, told array<int>")
+
+    def _load(self) -> tuple[int, dict[int, int], dict[int, int]]:
+        last, events, at, days, told = self.known.get() or (_NONE, [], [], [], [])
+        return last, dict(zip(events, at, strict=True)), dict(zip(days, told, strict=True))
+
+    def _save(self, last: int, seen: dict[int, int], told: dict[int, int]) -> None:
+        self.known.update((last, list(seen), list(seen.values()), list(told), list(told.values())))
+
+    def _timer(self, last: int) -> int:
+        return (last + self.limit) // 1000
+
+    @staticmethod
+    def _alert(since: int, told: dict[int, int]) -> tuple[int, int]:
+        told[since // _DAY] = told.get(since // _DAY, 0) + 1
+        return since, told[since // _DAY]
 
-    def _alert(self, since: pd.Timestamp) -> tuple[pd.Timestamp, int]:
-        day = (str(since.date()),)
-        n = self.told.getValue(day)[0] + 1 if self.told.containsKey(day) else 1
-        self.told.updateValue(day, (n,))
-        return since, n
+    @staticmethod
+    def _rows(key: tuple, found: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(found), "silent_since": pd.to_datetime([x[0] for x in found], unit="us"), "of_day": [x[1] for x in found]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        known = self.last.get()
-        last = pd.Timestamp(known[0]) if known else None
-        found = []
-        for event, at in zip(events["event_id"].tolist(), events["ts"].tolist(), strict=True):
-            if self.seen.containsKey((event,)):
+        known, seen, told = self._load()
+        events = [x for part in rows for x in zip(part["ts"].astype("datetime64[us]").astype("int64").tolist(), part["event_id"].tolist(), strict=True)]
+        last, found = known, []
+        for at, event in sorted(events):
+            if event in seen:
                 continue
-            self.seen.updateValue((event,), (at.to_pydatetime(),))
-            if last is not None and at - last > self.limit:
-                found.append(self._alert(last))
-            last = at if last is None else max(last, at)
-        if known is None or last > pd.Timestamp(known[0]):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((last.to_pydatetime(),))
-            self.handle.registerTimer(int((last + self.limit).timestamp() * 1000))
-        for event, at in list(self.seen.iterator()):
-            if last - pd.Timestamp(at[0]) > self.limit:
-                self.seen.removeKey(event)
+            seen[event] = at
+            if last != _NONE and at - last > self.limit:
+                found.append(self._alert(last, told))
+            last = max(last, at)
+        if last > known:
+            if known != _NONE:
+                self.handle.deleteTimer(self._timer(known))
+            self.handle.registerTimer(self._timer(last))
+        if last != _NONE:  # else all were met before
+            seen = {event: at for event, at in seen.items() if last - at <= self.limit}
+        self._save(last, seen, told)
         if found:
-            yield pd.DataFrame({"user_id": [key[0]] * len(found), "silent_since": [x[0] for x in found], "of_day": [x[1] for x in found]})
+            yield self._rows(key, found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        since, n = self._alert(pd.Timestamp(known[0]))
-        self.last.clear()  # a next event begins anew: this silence is told
-        yield pd.DataFrame({"user_id": [key[0]], "silent_since": [since], "of_day": [n]})
+        last, seen, told = self._load()
+        found = [self._alert(last, told)]
+        self._save(_NONE, seen, told)  # a next event begins anew: this silence is told
+        yield self._rows(key, found)
 
     def close(self) -> None:
         pass
