@@ -118,10 +118,12 @@ def inequality_join(left: DataFrame, right: DataFrame, first: Inequality, second
 
     def keyed(side: DataFrame, is_left: bool, name: str) -> DataFrame:
         own = alive.where(F.col("is_left") == is_left)
+        names = [c for c in side.columns if c != "__id"]
+        side = side.select("__id", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(names)])  # they may have any names
         rows = staged(own.hint("merge").join(side.hint("merge"), F.col("id") == F.col("__id")).drop("id"), "partners").df
         spread = _keyed(rows, number, bits, "__level", "__node")
         key = F.struct("keys", *([] if second is None else ["level", "node"]), "__level", "__node")
-        return spread.select(*[c for c in side.columns if c != "__id"], F.col("__id").alias(f"__{name}_id"), key.alias(f"__{name}_at"))
+        return spread.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)], F.col("__id").alias(f"__{name}_id"), key.alias(f"__{name}_at"))
 
     met = hot_key_join(keyed(a, True, "left"), keyed(b, False, "right"), "__left_at", "__right_at", "inner", cell_rows)
     met = met if also is None else met.where(also)
