@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, cut, small_batches, texts_of, with_filter
+from .common import MOST_BROADCAST, cut, lean, small_batches, texts_of, with_filter
 from .wordhash import Chunk, chunks, mix, run_hashes
 
 BUCKETS = 1 << 17
@@ -91,7 +91,7 @@ def count_grams(docs: DataFrame, buckets: int = BUCKETS, text_col: str = "text")
 
     return (
         docs.select(F.col(text_col).cast("string"), "__trusted")
-        .mapInArrow(count, "bucket int, raw long, trusted long")
+        .mapInArrow(lean(count), "bucket int, raw long, trusted long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     )
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: RatioModel, text_col: str = "text", id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"{x} long" for x in _COUNTS)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"), "__trusted").mapInArrow(
-        run, f"doc_id {kind}, {counts}, base_failed boolean, score double, kept boolean"
+        lean(run), f"doc_id {kind}, {counts}, base_failed boolean, score double, kept boolean"
     )
 
 
@@ -227,4 +227,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 kept = found["kept"]
                 yield rows.slice(first, len(kept)).filter(pa.array(kept))
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(lean(run), docs.schema)
