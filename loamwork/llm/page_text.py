@@ -5,21 +5,25 @@ of their URL paths, each is paired with the nearest of its neighbours there, and
 lines of both are aligned by their longest common subsequence: lines they share are
 the site's, not the page's, and go.
 
-Differencing alone can't give the article where a site's menus, adverts and footers
-change with each page, and it takes text from pages whose articles are copies. So
-what a page's markup says comes first: lines in marked parts (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) go, and a page that declares
-an article keeps the lines of it, all of them. The lines that are left open, those of
-pages without such a declaration, are decided by the difference.
-
-Order and pairs are made on narrow rows; texts of pages with open lines are the only
-ones that move.
+Differencing line by line can't give the article where a site's menus, adverts and
+footers change with each page, and it takes text from pages whose articles are copies.
+So markup says first what may be text at all, and in which units: lines in marked parts
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) are none; a page
+that declares articles has each of them as a unit; any other page has each of its lines
+as one. Then every page is differenced, and units of which all lines are shared go:
+site lines of pages without a declaration, teasers and boxes that a site declares as
+articles on page after page. The longest declared article of a page always stays, whole.
+
+Order, pairs and differences are made on narrow rows of ids and hashes of lines. Only
+texts of pages that lose a unit move.
 
 Defined cases: null html is empty and gives an empty text; a page without host, or
 the only one of its host, has nothing to be compared with and keeps its open lines;
 a null URL has no host; rows that repeat a page_id, or a URL, are pages of their own;
 a neighbour that shares more than COPY of the page's open lines is a copy of it and
-takes nothing; markup that is not closed ends with the page; other columns are not
+takes nothing, and neither does one that shares the longest declared article; lines of
+declared articles are not the site's, so pages without a declaration lose nothing to them;
+markup that is not closed ends with the page; other columns are not
 read; an empty table gives an empty result.
 """
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import row_numbers
-from .common import cut
+from .common import cut, joined_by_id
 
 #: A neighbour that shares more of a page's open lines than this is a copy of the page.
 COPY = 0.8
@@ -90,10 +95,11 @@ def _marks(name: str, attributes: str, in_article: bool) -> int:
     return MAIN if name == "main" or role == "main" else OPEN
 
 
-def read_lines(page: str) -> tuple[list[str], list[int], bool, bool]:
-    """The page's lines, what each lies in, and whether an article and whether a main part is declared."""
+def read_lines(page: str, declared: list[int] | None = None) -> tuple[list[str], list[int], bool, bool]:
+    """The page's lines, what each lies in, and whether an article and whether a main part is declared; into ``declared`` the number of the declared part that each lies in."""
     lines: list[str] = []
     kinds: list[int] = []
+    parts = 0
     run: list[str] = []
     stack: list[tuple[str, int, int]] = []  # open elements, what their lines lie in, and what their own markup says
     now, at, end = OPEN, 0, len(page)
@@ -106,6 +112,8 @@ def read_lines(page: str) -> tuple[list[str], list[int], bool, bool]:
             if text:
                 lines.append(text)
                 kinds.append(now)
+                if declared is not None:
+                    declared.append(parts)
 
     while at < end:
         token = _TOKEN.search(page, at)
@@ -146,6 +154,7 @@ def read_lines(page: str) -> tuple[list[str], list[int], bool, bool]:
         inside = PART if PART in (own, now) else ARTICLE if ARTICLE in (own, now) else MAIN if MAIN in (own, now) else OPEN
         if inside != now:
             close_line()
+            parts += inside in (ARTICLE, MAIN) and now in (OPEN, MAIN)
         if inside != now or (name in BLOCKS and name not in SHORT):
             stack.append((name, inside, own))
             now = inside
@@ -154,14 +163,25 @@ def read_lines(page: str) -> tuple[list[str], list[int], bool, bool]:
     return lines, kinds, article, main
 
 
-def settled(page: str) -> tuple[str, list[str] | None, list[str]]:
-    """The text of a page that declares its article, else the page's open lines; and the lines outside the article, for its neighbours."""
-    lines, kinds, article, main = read_lines(page)
+def units_of(page: str) -> tuple[list[str], list[str], list[int], bool]:
+    """The page's units of text; its lines that are in no marked part, and the unit of each, -1 if none; whether it declares its units."""
+    numbers: list[int] = []
+    lines, kinds, article, main = read_lines(page, numbers)
     wanted = ARTICLE if article else MAIN if main else OPEN
-    text = " ".join([line for line, kind in zip(lines, kinds, strict=True) if kind == wanted])
-    if wanted != OPEN:
-        return text, None, [line for line, kind in zip(lines, kinds, strict=True) if kind not in (wanted, PART)]
-    return text, [line for line, kind in zip(lines, kinds, strict=True) if kind == OPEN], []
+    rows = [(line, kind == wanted, number) for line, kind, number in zip(lines, kinds, numbers, strict=True) if kind != PART]
+    place = {x: i for i, x in enumerate(dict.fromkeys(i if wanted == OPEN else number for i, (_, own, number) in enumerate(rows) if own))}
+    at = [place[i if wanted == OPEN else number] if own else -1 for i, (_, own, number) in enumerate(rows)]
+    texts: list[list[str]] = [[] for _ in place]
+    for (line, _, _), i in zip(rows, at, strict=True):
+        if i >= 0:
+            texts[i].append(line)
+    return [" ".join(x) for x in texts], [line for line, _, _ in rows], at, wanted != OPEN
+
+
+def settled(page: str) -> tuple[str, list[str] | None, list[str]]:
+    """What markup alone says, for tests of it: the text, the open lines of a page that declares no article, and the lines outside a declared one."""
+    units, lines, at, declared = units_of(page)
+    return " ".join(units), None if declared else units, [line for line, i in zip(lines, at, strict=True) if i < 0] if declared else []
 
 
 def shared(mine: list[int], other: list[int]) -> list[int]:
@@ -206,32 +226,42 @@ def _hash(lines: list[str]) -> list[int]:
     return [int.from_bytes(xxhash.xxh3_64_digest(x.encode("utf-8", "surrogatepass")), "little", signed=True) for x in lines]
 
 
-_READ = "page_id long, url string, text string, open array<string>, hashes array<bigint>"
+_READ = "page_id long, url string, units array<string>, hashes array<bigint>, unit_of array<int>, longest int, declared boolean"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("page_id", pa.int64()), ("url", pa.string()), ("units", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("unit_of", pa.list_(pa.int32())), ("longest", pa.int32()), ("declared", pa.bool_())]
+    )
     for batch in batches:
-        found = [settled(x or "") for x in batch.column("html").to_pylist()]
-        columns = [[x[0] for x in found], [x[1] for x in found], [_hash(x[2] if x[1] is None else x[1]) for x in found]]
+        found = [units_of(x or "") for x in batch.column("html").to_pylist()]
+        longest = [max(range(len(x[0])), key=lambda i: len(x[0][i])) if x[0] and x[3] else -1 for x in found]
+        columns = [[x[0] for x in found], [_hash(x[1]) for x in found], [x[2] for x in found], longest, [x[3] for x in found]]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), *columns], schema=schema)
 
 
+def units_shared(mine: list[int], unit_of: list[int], longest: int, declared: bool, others: list[dict]) -> tuple[list[int], int]:
+    """Units of a page that a neighbour shares whole, and their number of lines. ``others``: hashes, unit_of and declared of its neighbours, the nearest first."""
+    left = Counter(i for i in unit_of if i >= 0)
+    for other in others:
+        lines = other["hashes"]
+        if other["declared"] and not declared:
+            lines = [h for h, i in zip(lines, other["unit_of"], strict=True) if i < 0]
+        found = Counter(unit_of[i] for i in shared(mine, lines) if unit_of[i] >= 0)
+        whole = [i for i, n in found.items() if n == left[i]]
+        if longest in whole or (not declared and found.total() > COPY * left.total()):
+            continue  # a copy of the page
+        return sorted(whole), sum(left[i] for i in whole)
+    return [], 0
+
+
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text and number of deleted lines of pages, from their open lines and the lines of their neighbours, the nearest first."""
+    """Units that go from each page, and their number of lines."""
     for batch in batches:
-        texts, gone = [], []
-        for lines, mine, others in zip(*(batch.column(c).to_pylist() for c in ("open", "hashes", "others")), strict=True):
-            drop: list[int] = []
-            for other in others or []:
-                drop = shared(mine, other)
-                if len(drop) <= COPY * len(mine):
-                    break
-                drop = []
-            out = set(drop)
-            texts.append(" ".join([x for i, x in enumerate(lines) if i not in out]))
-            gone.append(len(drop))
-        yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["row", "text", "n_shared"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("hashes", "unit_of", "longest", "declared", "others")), strict=True)
+        found = [units_shared(*row) for row in rows]
+        gone, n = pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.int64())
+        yield pa.record_batch([batch.column("row"), gone, n], ["row", "gone", "n_shared"])
 
 
 def place_of(url: str = "url") -> tuple:
@@ -261,13 +291,16 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines that the difference has deleted)."""
     read = cut(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_read, _READ).withColumn("row", F.monotonically_increasing_id()), "pages").df
-    places = read.select("row", *place_of(), F.col("open").isNotNull().alias("asks"))
-    pairs = neighbours(places)
-    asked = read.where("open is not null").select("row", "open", "hashes")
-    wanted = pairs.join(asked.select("row"), "row", "left_semi")
-    lines = wanted.join(read.select(F.col("row").alias("other"), F.col("hashes").alias("lines")), "other")
-    others = lines.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("near", "lines")), lambda a, b: F.when(a.near > b.near, -1).when(a.near < b.near, 1).otherwise(0)), lambda x: x.lines).alias("others"))
-    opened = asked.join(others, "row", "left").mapInArrow(_differenced, "row long, text string, n_shared long")
-    decided = read.where("open is not null").select("row", "page_id", "url").join(opened, "row").select("page_id", "url", "text", "n_shared")
-    whole = read.where("open is null").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_shared")).unionByName(decided)
+    pairs = neighbours(read.select("row", *place_of()))
+    lines = ("hashes", "unit_of", "declared")
+    met = pairs.join(read.select(F.col("row").alias("other"), F.struct(*lines).alias("lines")), "other")
+    others = met.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("near", "lines")), lambda a, b: F.when(a.near > b.near, -1).when(a.near < b.near, 1).otherwise(0)), lambda x: x.lines).alias("others"))
+    differenced = read.select("row", *lines, "longest").join(others, "row").mapInArrow(_differenced, "row long, gone array<int>, n_shared long")
+    gone = cut(differenced.where("n_shared > 0"), "gone-units").df
+    ids = gone.select(F.col("row").alias("doc_id"))
+    texts = read.select("page_id", "url", "units", "row")
+    stay = joined_by_id(texts, ids, "row", "left_anti").select("page_id", "url", "units", F.lit(0).cast("long").alias("n_shared"))
+    left = F.filter(F.transform("units", lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    lose = joined_by_id(texts, ids, "row", "left_semi").join(gone, "row").select("page_id", "url", left.alias("units"), "n_shared")
+    whole = stay.unionByName(lose).withColumn("text", F.array_join(F.filter("units", lambda x: x != ""), " "))
     return whole.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
