@@ -92,9 +92,15 @@ def silence_alerts(events: DataFrame, seconds: float) -> DataFrame:
 def followed_by(events: DataFrame, first: str, then: str, within: str) -> DataFrame:
     """user_id, first_id, then_id: events of one type that one of another follows within a time, as a join of two streams.
 
-    Both sides keep their rows in state no longer than the watermark and ``within`` ask for.
+    Both sides keep their rows in state no longer than the watermark and ``within`` ask for. A row is
+    tried with all that state holds under its key, so the key has the time as well as the user: a
+    first event goes to one span, the other to its own span and the one before. A span is no shorter
+    than ``within``, also where its months or days are longer than those after 1970-01-01.
     """
-    a = events.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_at"))
-    b = events.where(F.col("event_type") == then).select(F.col("user_id").alias("then_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_at"))
-    met = a.join(b, F.expr(f"user_id = then_user AND then_at > first_at AND then_at <= first_at + INTERVAL {within}"))
+    span = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {within})") * 1.1 + 7_200_000_000
+    span_of = lambda at: F.floor(F.unix_micros(at) / span)
+    a = events.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_at"), span_of("ts").alias("first_span"))
+    b = events.where(F.col("event_type") == then).select(F.col("user_id").alias("then_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_at"), span_of("ts").alias("last_span"))
+    b = b.select("then_user", "then_id", "then_at", F.explode(F.array(F.col("last_span") - 1, "last_span")).alias("then_span"))
+    met = a.join(b, F.expr(f"user_id = then_user AND first_span = then_span AND then_at > first_at AND then_at <= first_at + INTERVAL {within}"))
     return met.select("user_id", "first_id", "then_id")
