@@ -6,6 +6,9 @@ at one bit, where the left one has 0 and the right one 1: a pair meets under the
 bits above it and nowhere else. So each row goes to as many keys as its number has
 bits of its side's kind, and the join is an equality on such keys.
 
+Before anything is numbered, rows go whose value no row of the other side can match,
+which its least and greatest value tell.
+
 With two inequalities rows go on only if the second can still hold: a left row's
 second number must be below the greatest of the right rows that the first allows, and
 the other way round. That is tried on blocks of first numbers, ``BLOCKS`` at most,
@@ -13,7 +16,8 @@ before any row is copied to its keys, and then within each key. What goes on has
 partner, so it is at most twice the result, and is keyed by the second number in
 the same way. Rows go there with all their columns, so a pair that is made is a row of
 the result and moves nowhere: what is shuffled follows from the rows that have
-partners, not from the pairs. A key with very many rows is split like any hot key.
+partners, not from the pairs. A key with very many rows is split like any hot key, and the number of
+tasks follows from the pairs, as few bytes can make very many.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .stages import staged
 BLOCKS = 1 << 16
 
 #: Rows of a side that a cell of pairs gets, about.
-PAIR_ROWS = 1 << 13
+PAIR_ROWS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -78,11 +82,28 @@ def _with_bounds(rows: DataFrame, bits: int) -> DataFrame:
     return rows.join(F.broadcast(bounds), block == F.col("of")).where("if(is_left, p2 < most, p2 > least)").drop("of", "least", "most")
 
 
+def _possible(left: DataFrame, right: DataFrame, by: Sequence[Inequality]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose values match the extreme one of the other side: no other row has a partner. A side without values leaves none."""
+    less = [x.op in ("<", "<=") for x in by]
+    least = [(F.min if up else F.max)(x.left).alias(f"__end{i}") for i, (x, up) in enumerate(zip(by, less, strict=True))]
+    most = [(F.max if up else F.min)(x.right).alias(f"__end{i}") for i, (x, up) in enumerate(zip(by, less, strict=True))]
+    lefts, rights = staged(left.agg(*least), "ends").df, staged(right.agg(*most), "ends").df  # a row each
+
+    def holds(op: str, a: Column, b: Column) -> Column:
+        return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+    ends = [F.col(f"__end{i}") for i in range(len(by))]
+    some = reduce(lambda a, b: a & b, [holds(x.op, x.left, end) for x, end in zip(by, ends, strict=True)])
+    other = reduce(lambda a, b: a & b, [holds(x.op, end, x.right) for x, end in zip(by, ends, strict=True)])
+    return left.join(F.broadcast(rights), some, "left_semi"), right.join(F.broadcast(lefts), other, "left_semi")
+
+
 def partners(left: DataFrame, right: DataFrame, first: Inequality, second: Inequality | None, on: Sequence[tuple[Column, Column]], range_rows: int) -> tuple[DataFrame, str, int]:
     """is_left, id, keys, the number to go by, level and node, if two inequalities; its name; the bits of a number.
 
     With two inequalities these are rows that have a partner under their level and node; both sides have a unique long ``__id``.
     """
+    left, right = _possible(left, right, [first] if second is None else [first, second])
     bits = max(1, (left.count() + right.count()).bit_length())
     one = staged(_numbers(left, right, first, "p1", range_rows, on), "numbers")
     if second is None:
