@@ -17,6 +17,9 @@ _DAY = 86_400_000_000
 _START = dt.datetime(1970, 1, 1)
 _MICROSECOND = dt.timedelta(microseconds=1)
 
+#: Settings for the stream of a join (see replay): all its state of a task in one store, not four, whose writes don't read first to keep a count of rows.
+JOIN_STATE = {"spark_sql_streaming_join_stateFormatVersion": "3", "spark_sql_streaming_stateStore_rocksdb_trackTotalNumberOfRows": "false"}
+
 
 class Silence(StatefulProcessor):
     """Tells of each time a key was silent for longer than a limit, as soon as that is known.
